@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowgrid.llm.bpe import encode_digests
 from flowgrid.llm.common import read_table
+from flowgrid.llm.line_dedup import line_dedup
 from flowgrid.llm.packing import pack_documents
 from flowgrid.llm.quality_rules import quality_rules
+from flowgrid.llm.secrets import secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +22,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(read_table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -27,13 +39,36 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+# White space is spelt out, since regular expressions of the two engines differ in \\s.
+OP6_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line_text, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no
+  FROM documents
+), keyed AS (
+  SELECT doc_id, line_text, line_no, translate(trim(line_text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM lines
+), firsts AS (
+  SELECT k, min(doc_id) AS first_doc FROM keyed WHERE length(k) >= 10 GROUP BY k
+), judged AS (
+  SELECT keyed.*, coalesce(first_doc < doc_id, false) AS gone FROM keyed LEFT JOIN firsts USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line_text, chr(10) ORDER BY line_no) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_quality_rules": op3_quality_rules,
+        "op5_secrets": op5_secrets,
+        "op6_line_dedup": op6_line_dedup,
         "op7_packing": op7_packing,
         "op10_bpe": op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_line_dedup": OP6_SQL,
+    }
