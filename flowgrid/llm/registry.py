@@ -14,6 +14,7 @@ from flowgrid.llm.line_dedup import line_dedup
 from flowgrid.llm.packing import pack_documents
 from flowgrid.llm.quality_rules import quality_rules
 from flowgrid.llm.secrets import secret_scan
+from flowgrid.llm.topk import exact_top_k, integer_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +36,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = integer_vectors(read_table(spark, sf_dir, "embeddings"))
+    return exact_top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -58,12 +64,31 @@ FROM judged GROUP BY doc_id
 """
 
 
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_quality_rules": op3_quality_rules,
         "op5_secrets": op5_secrets,
         "op6_line_dedup": op6_line_dedup,
         "op7_packing": op7_packing,
+        "op8_top_k": op8_top_k,
         "op10_bpe": op10_bpe,
     }
 
@@ -71,4 +96,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_line_dedup": OP6_SQL,
+        "op8_top_k": OP8_SQL,
     }
