@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from flowgrid.llm.bpe import encode_digests
 from flowgrid.llm.common import read_table
 from flowgrid.llm.line_dedup import line_dedup
+from flowgrid.llm.near_dedup import near_duplicates
 from flowgrid.llm.packing import pack_documents
 from flowgrid.llm.quality_rules import quality_rules
 from flowgrid.llm.secrets import secret_scan
@@ -41,6 +42,10 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -89,6 +94,7 @@ def queries() -> dict[str, Query]:
         "op6_line_dedup": op6_line_dedup,
         "op7_packing": op7_packing,
         "op8_top_k": op8_top_k,
+        "op9_near_dedup": op9_near_dedup,
         "op10_bpe": op10_bpe,
     }
 
