@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flowgrid.llm.bpe import encode_digests
 from flowgrid.llm.common import read_table
+from flowgrid.llm.html_extract import extract_text
 from flowgrid.llm.line_dedup import line_dedup
 from flowgrid.llm.near_dedup import near_duplicates
 from flowgrid.llm.packing import pack_documents
@@ -20,6 +21,10 @@ from flowgrid.llm.topk import exact_top_k, integer_vectors
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read_table(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
@@ -89,6 +94,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_html_text": op2_html_text,
         "op3_quality_rules": op3_quality_rules,
         "op5_secrets": op5_secrets,
         "op6_line_dedup": op6_line_dedup,
