@@ -159,5 +159,6 @@ def apply_quality_rules(docs: DataFrame, text: str = "text", lang: str | None =
     """The rows of ``docs`` that the rules keep, with their columns unchanged."""
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(text).alias("_text_in"), *([F.col(lang).alias("_lang_in")] if lang else []))
-    judged = quality_rules(packed, "_text_in", "_lang_in" if lang else None, keep=("_row",), rules=rules)
-    return judged.filter("kept").select("_row.*")
+    # The row number keeps the optimiser from pushing the verdict, spelt out, below the measures.
+    judged = quality_rules(packed, "_text_in", "_lang_in" if lang else None, keep=("_row",), rules=rules).withColumn("_at", F.monotonically_increasing_id())
+    return judged.filter(F.col("kept") & (F.col("_at") >= 0)).select("_row.*")
