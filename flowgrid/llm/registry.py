@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from flowgrid.llm.bpe import encode_digests
 from flowgrid.llm.common import read_table
 from flowgrid.llm.html_extract import extract_text
+from flowgrid.llm.kneser_ney import quality_classifier
 from flowgrid.llm.line_dedup import line_dedup
 from flowgrid.llm.near_dedup import near_duplicates
 from flowgrid.llm.packing import pack_documents
@@ -21,6 +22,11 @@ from flowgrid.llm.topk import exact_top_k, integer_vectors
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = read_table(spark, sf_dir, "labels").filter((F.col("quality") == 1) & (F.col("toxic") == 0))
+    return quality_classifier(read_table(spark, sf_dir, "documents"), trusted)
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(read_table(spark, sf_dir, "pages"))
 
@@ -94,6 +100,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op2_html_text": op2_html_text,
         "op3_quality_rules": op3_quality_rules,
         "op5_secrets": op5_secrets,
