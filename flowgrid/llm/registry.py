@@ -17,6 +17,7 @@ from flowgrid.llm.near_dedup import near_duplicates
 from flowgrid.llm.packing import pack_documents
 from flowgrid.llm.quality_rules import quality_rules
 from flowgrid.llm.secrets import secret_scan
+from flowgrid.llm.substring_dedup import repeated_passages
 from flowgrid.llm.topk import exact_top_k, integer_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(read_table(spark, sf_dir, "documents"))
 
@@ -103,6 +108,7 @@ def queries() -> dict[str, Query]:
         "op1_quality_classifier": op1_quality_classifier,
         "op2_html_text": op2_html_text,
         "op3_quality_rules": op3_quality_rules,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_secrets": op5_secrets,
         "op6_line_dedup": op6_line_dedup,
         "op7_packing": op7_packing,
