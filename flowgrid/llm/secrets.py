@@ -116,7 +116,7 @@ def ownership(candidates: DataFrame, many_owners: int = MANY_OWNERS) -> DataFram
 def _verdicts(scan: DataFrame, many_owners: int) -> DataFrame:
     """One row per candidate of ``scan`` (columns ``_uid``, ``_owner``, ``_repo``)."""
     each = scan.select("_uid", "_owner", "_repo", F.explode("candidates").alias("c")).select("_uid", "_owner", "_repo", "c.*")
-    return each.drop("_owner", "_repo").join(ownership(each, many_owners), "value_hash").withColumn("is_live", F.col("looks_live") & ~F.col("is_example"))
+    return each.drop("_owner", "_repo").join(materialise(ownership(each, many_owners), "owners"), "value_hash").withColumn("is_live", F.col("looks_live") & ~F.col("is_example"))
 
 
 def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "doc_id", many_owners: int = MANY_OWNERS) -> DataFrame:
