@@ -15,7 +15,7 @@ from flowgrid.llm.kneser_ney import quality_classifier
 from flowgrid.llm.line_dedup import line_dedup
 from flowgrid.llm.near_dedup import near_duplicates
 from flowgrid.llm.packing import pack_documents
-from flowgrid.llm.quality_rules import quality_rules
+from flowgrid.llm.quality_rules import STOP_WORDS, quality_rules
 from flowgrid.llm.secrets import secret_scan
 from flowgrid.llm.substring_dedup import repeated_passages
 from flowgrid.llm.topk import exact_top_k, integer_vectors
@@ -33,7 +33,7 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(read_table(spark, sf_dir, "documents"))
+    return quality_rules(read_table(spark, sf_dir, "documents")).withColumn("failed_rules", F.array_join("failed_rules", ","))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,46 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+_STOPS = ", ".join(f"'{w}'" for w in sorted({x for words in STOP_WORDS.values() for w in words.split() for x in (w, w.capitalize())}))
+_LANGS = ", ".join(f"'{x}'" for x in STOP_WORDS)
+
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lang FROM documents),
+w AS (
+  SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM d
+), grams AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)
+), often AS (
+  SELECT doc_id, g FROM grams GROUP BY doc_id, g HAVING count(*) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM grams JOIN often USING (doc_id, g)) GROUP BY doc_id
+), m AS (
+  SELECT w.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines, length(regexp_replace(t, '\\P{{L}}+', '', 'g')) AS letters,
+         len(list_filter(w, lambda x: x IN ({_STOPS}))) AS stops,
+         len(list_filter(lines, lambda x: substr(trim(x, ' '), 1, 2) IN ('- ', '* ', '• ', '‣ ', '· '))) AS bullets,
+         len(list_filter(lines, lambda x: rtrim(x, ' ').ends_with('...') OR rtrim(x, ' ').ends_with('…'))) AS dots
+  FROM w LEFT JOIN covered USING (doc_id)
+), r AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         array_to_string(list_filter([
+           CASE WHEN NOT (n_words >= 50 AND n_words <= 100000) THEN 'length' END,
+           CASE WHEN NOT (word_chars / CAST(nullif(n_words, 0) AS DOUBLE) BETWEEN 2.5 AND 15.0) THEN 'mean_word_length' END,
+           CASE WHEN NOT (n_symbols / CAST(nullif(n_words, 0) AS DOUBLE) <= 0.1) THEN 'symbols' END,
+           CASE WHEN NOT (letters / CAST(nullif(word_chars, 0) AS DOUBLE) >= 0.7) THEN 'letters' END,
+           CASE WHEN NOT (stops / CAST(nullif(n_words, 0) AS DOUBLE) >= 0.1) AND lang IN ({_LANGS}) THEN 'stop_words' END,
+           CASE WHEN NOT (n_dup_lines / CAST(nullif(n_lines, 0) AS DOUBLE) <= 0.5) THEN 'repeated_lines' END,
+           CASE WHEN NOT (bullets / CAST(nullif(n_lines, 0) AS DOUBLE) <= 0.9) THEN 'bullet_lines' END,
+           CASE WHEN NOT (dots / CAST(nullif(n_lines, 0) AS DOUBLE) <= 0.3) THEN 'ellipsis_lines' END
+         ], lambda x: x IS NOT NULL), ',') AS failed_rules
+  FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM r
+"""
+
 # White space is spelt out, since regular expressions of the two engines differ in \\s.
 OP6_SQL = """
 WITH lines AS (
@@ -120,6 +160,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_quality_rules": OP3_SQL,
         "op6_line_dedup": OP6_SQL,
         "op8_top_k": OP8_SQL,
     }
