@@ -136,7 +136,8 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batc
     cuts = ids.agg(F.percentile_approx("doc", F.array(*[F.lit(k / batches) for k in range(1, batches)]), 1000)).first()[0] or [] if batches > 1 else []
     batch = sum([(F.col("doc") > c).cast("int") for c in cuts], F.lit(0))
     lines = materialise(hashes.withColumn("batch", batch), "lines")
-    shared = shared_lines(lines, batches)
+    # Written first, so that the join's sides are plain shuffles and a common line's can be split.
+    shared = materialise(shared_lines(lines, batches), "shared")
     drops = lines.join(shared, "h").filter(F.col("doc") != F.col("first_doc")).groupBy("doc").agg(F.collect_set("h").alias("_drops"))
     given = docs.select(F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in names if c != text]).alias("_row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("_doc"), F.col(text).cast("string").alias("_text"))
     joined = given.join(drops.hint("shuffle_hash"), F.col("_doc") == F.col("doc"), "left").select("_row", "_text", "_drops")
