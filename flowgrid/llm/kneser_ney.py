@@ -148,6 +148,23 @@ def score_table(grams: DataFrame, order: int = ORDER) -> DataFrame:
     return lower.select("lang", "g", F.log("p").alias("logp"))
 
 
+def _hashed(table: DataFrame, order: int) -> DataFrame:
+    """(k, v): the hash of each n-gram with its language, as _grams() has it, and its value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = np.array(batch.column(0).to_pylist(), object)
+            points = np.array(batch.column(1).to_pylist() or [""], f"<U{order}").view(np.uint32).reshape(-1, order)[: len(langs)]
+            total = np.zeros(len(langs), np.uint64)
+            for lang in set(langs):
+                total[langs == lang] = _seed(lang)
+            for k in range(order):
+                total += (points[:, k].astype(np.uint64) + np.uint64(1)) * _FACTORS[k]
+            yield pa.RecordBatch.from_arrays([pa.array(mix(total).view(np.int64)), batch.column(2).cast(pa.float32())], names=["k", "v"])
+
+    return table.select("lang", "g", "logp").mapInArrow(run, "k long, v float")
+
+
 class _Table:
     """A hash table of 64-bit keys in two arrays, searched for many keys at once."""
 
@@ -229,7 +246,7 @@ def _score_by_join(given: DataFrame, table: DataFrame, order: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([uid] * len(g), pa.int64()), pa.array([lang] * len(g), pa.string()), pa.array(g.tolist(), pa.string()), pa.array(n, pa.int64())], names=schema.names)
 
     each = given.select("_uid", "lang", "text").mapInArrow(run, schema)
-    sums = each.join(table, ["lang", "g"]).groupBy("_uid").agg(F.sum(F.col("n") * F.col("logp")).alias("total"), F.sum("n").alias("n"))
+    sums = each.join(table, ["lang", "g"], "left").groupBy("_uid").agg(F.sum(F.col("n") * F.col("logp")).alias("total"), F.sum("n").alias("n"))
     return given.drop("text").join(sums, "_uid", "left")
 
 
@@ -253,14 +270,9 @@ def quality_classifier(
     marked = given.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left").select("_uid", "lang", "doc_id", F.coalesce("_held", F.lit(False)).alias("held"), F.coalesce(~F.col("_held"), F.lit(False)).alias("trusted"), "text")
     table = score_table(materialise(count_grams(marked, order), "grams"), order)
     if table.count() <= broadcast_rows:
-        rows = table.toPandas()
-        keys, values = np.zeros(len(rows), np.uint64), rows["logp"].to_numpy(np.float32)
-        for name, part in rows.groupby("lang"):
-            points = np.array(part["g"].tolist(), f"<U{order}").view(np.uint32).reshape(-1, order)
-            total = np.full(len(part), _seed(name), np.uint64)
-            for k in range(order):
-                total += (points[:, k].astype(np.uint64) + np.uint64(1)) * _FACTORS[k]
-            keys[part.index] = mix(total) | np.uint64(1)  # 0 marks a free slot
+        # Twelve bytes a row, gathered as Arrow batches.
+        rows = _hashed(table, order).toArrow()
+        keys, values = rows["k"].to_numpy().view(np.uint64) | np.uint64(1), rows["v"].to_numpy()  # 0 marks a free slot
         scored = _score_by_table(marked, spark.sparkContext.broadcast((keys, values)), order)
     else:
         scored = _score_by_join(marked, table, order)
