@@ -3,9 +3,11 @@
 Weighted word shingles arrive at a signature's registers as Poisson processes whose rates are their
 weights; a shingle stops as soon as its next arrival can't be the first at any register. Signatures'
 bands become buckets. Exact copies are one node throughout. Each bucket's members are verified
-against its leader; members that this leaves outside the leader's class are then verified against all
-members of other classes, so every pair of different texts that shares a bucket is linked, directly
-or through its class, or has been compared.
+against its leader, then those of different classes against a few pivots and against more; a large
+group of near copies so becomes one class after a linear number of pairs. Members that still are
+outside their bucket's main class are verified against all members of other classes. Pairs are left
+out only where the shingles that a node has alone rule the threshold out, so every pair of different
+texts that shares a bucket is linked, directly or through its class, or known not to be similar.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +31,8 @@ from flowgrid.llm.shingles import WORDS, mix, similarity, weighted_shingles
 BANDS = 32
 ROWS = 6
 THRESHOLD = 0.8
+#: Mean pivots of a bucket in the rounds before classes that still share a bucket meet in full.
+PIVOTS = (8, 64)
 
 
 def prob_min_hash(shingles: np.ndarray, weights: np.ndarray, registers: int = BANDS * ROWS) -> np.ndarray:
@@ -106,6 +110,77 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return both.mapInArrow(run, schema)
 
 
+#: Of a node: shingles, those that no other node of a mixed bucket has, and both by weight.
+FACTS = ("n", "alone", "weight", "weight_alone")
+
+
+def _mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members, with their class and bucket's size, of the buckets that hold several classes."""
+    labelled = members.join(classes, "node", "left").withColumn("of", F.coalesce("component", "node")).drop("component")
+    mixed = labelled.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi"), F.count("*").alias("size")).filter(F.col("lo") != F.col("hi")).select("key", "size")
+    return materialise(labelled.join(materialise(mixed, "mixed"), "key"), "mixed")
+
+
+def _facts(labelled: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, *FACTS) for the nodes of mixed buckets."""
+    nodes = materialise(labelled.select("node").distinct().withColumn("id", F.monotonically_increasing_id()), "nodes")
+    each_schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("w", T.LongType())])
+
+    def shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for small in slices(batch, 64):
+                parsed = [weighted_shingles(t.as_py() or "") for t in small.column(1)]
+                ids = np.repeat(np.array(small.column(0).to_pylist(), np.int64), [len(h) for h, _ in parsed])
+                h = np.concatenate([h for h, _ in parsed] or [np.zeros(0, np.uint64)]).view(np.int64)
+                w = np.concatenate([w for _, w in parsed] or [np.zeros(0, np.int64)]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h), pa.array(w)], names=each_schema.names)
+
+    each = nodes.join(texts, "node").select("id", "text").mapInArrow(shingles_of, each_schema)
+    each = materialise(each, "shingles")
+    sizes = each.groupBy("id").agg(F.count("*").alias("n"), F.sum("w").alias("weight"))
+    alone = each.groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id"), F.min("w").alias("w")).filter("c = 1").groupBy("id").agg(F.count("*").alias("alone"), F.sum("w").alias("weight_alone"))
+    facts = nodes.join(sizes, "id").join(alone, "id", "left").select("node", "n", F.coalesce("alone", F.lit(0)).alias("alone"), "weight", F.coalesce("weight_alone", F.lit(0)).alias("weight_alone"))
+    return materialise(facts, "facts")
+
+
+def _can_reach(a: dict[str, Column], b: dict[str, Column], threshold: float) -> Column:
+    """Whether two nodes' facts leave room for a similarity of ``threshold``. No true pair is lost:
+    what a node has alone isn't in the intersection but is in the union, and a probability Jaccard
+    similarity is at most the weight in common."""
+    common = F.least(a["n"] - a["alone"], b["n"] - b["alone"])
+    union = F.greatest(a["n"] + b["alone"], b["n"] + a["alone"])
+    as_sets = common >= threshold * union - 1e-9
+    weighted = (a["weight"] != a["n"]) | (b["weight"] != b["n"])
+    in_common = F.least(1 - a["weight_alone"] / a["weight"], 1 - b["weight_alone"] / b["weight"]) >= threshold - 1e-9
+    return as_sets | (weighted & in_common)
+
+
+def _side(labelled: DataFrame, name: str) -> tuple[DataFrame, dict[str, Column]]:
+    """``labelled`` under new names: the node, its class and facts."""
+    facts = {c: F.col(f"{c}_{name}") for c in FACTS}
+    return labelled.select("key", F.col("node").alias(name), F.col("of").alias(f"of_{name}"), *[F.col(c).alias(f"{c}_{name}") for c in FACTS]), facts
+
+
+def _pivot_pairs(labelled: DataFrame, pivots: int, threshold: float) -> DataFrame:
+    """Each member with its bucket's pivots of other classes. A node is a pivot by its own hash, the
+    same in all buckets, with the chance that gives a bucket so many on average."""
+    chance = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(1 << 30)) / float(1 << 30)
+    left, of_left = _side(materialise(labelled.filter(chance * F.col("size") < pivots), "pivots"), "p")
+    right, of_right = _side(labelled, "m")
+    met = left.join(right, "key").filter((F.col("of_p") != F.col("of_m")) & _can_reach(of_left, of_right, threshold))
+    return materialise(met.select(F.least("p", "m").alias("a"), F.greatest("p", "m").alias("b")).distinct(), "met")
+
+
+def _rest(labelled: DataFrame, stars: DataFrame, threshold: float) -> DataFrame:
+    """Every pair of a member outside its bucket's main class with one of another class, but those
+    that have met at a leader and those that can't be similar."""
+    main = labelled.groupBy("key", "of").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("of", "c").alias("main"))
+    left, of_left = _side(labelled.join(materialise(main, "main"), "key").filter(F.col("of") != F.col("main")), "p")
+    right, of_right = _side(labelled, "m")
+    rest = left.join(right, "key").filter((F.col("of_p") != F.col("of_m")) & _can_reach(of_left, of_right, threshold)).select(F.least("p", "m").alias("a"), F.greatest("p", "m").alias("b")).distinct()
+    return materialise(rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id): one row per row of ``docs``; class_id is the least doc_id of its class.
 
@@ -121,6 +196,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = materialise(buckets.join(leaders, "key").select("key", "leader", "node").distinct(), "buckets")
     stars = materialise(members.filter(F.col("leader") != F.col("node")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     wanted = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
+    wanted = materialise(wanted, "wanted")
     # One row with its text for each node that is in a pair.
     chosen = rows.filter(F.col("node").isNotNull()).join(wanted, "node", "left_semi")
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -129,23 +205,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = materialise(_verified(stars, texts, threshold), "links")
     classes = connected_components(links)
 
-    labelled = members.join(classes, "node", "left").select("key", "leader", "node", F.coalesce("component", "node").alias("of"))
-    mixed = labelled.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).filter(F.col("lo") != F.col("hi")).select("key")
-    labelled = materialise(labelled.join(mixed, "key", "left_semi"), "mixed")
-    leader_of = labelled.filter(F.col("leader") == F.col("node")).select("key", F.col("of").alias("leader_of"))
-    apart = labelled.join(leader_of, "key").filter(F.col("of") != F.col("leader_of")).select("key", F.col("node").alias("a"), F.col("of").alias("of_a"))
-    # Left: members outside the leader's class. Right: all but the leader, which they have met.
-    others = labelled.filter(F.col("leader") != F.col("node")).select("key", F.col("node").alias("b"), F.col("of").alias("of_b"))
-    rest = apart.join(others, "key").filter(F.col("of_a") != F.col("of_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = materialise(rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
-    more = materialise(_verified(rest, texts, threshold), "links")
-    if not more.isEmpty():
-        classes = connected_components(links.unionByName(more))
+    labelled = _mixed(members, classes)
+    if not labelled.isEmpty():
+        members = materialise(labelled.join(_facts(labelled, texts), "node").select("key", "node", *FACTS), "members")
+        for pivots in PIVOTS:
+            more = materialise(_verified(_pivot_pairs(labelled := _mixed(members, classes), pivots, threshold), texts, threshold), "links")
+            if not more.isEmpty():
+                links = materialise(links.unionByName(more).distinct(), "links")
+                classes = connected_components(links)
+        labelled = _mixed(members, classes)
+        more = materialise(_verified(_rest(labelled, stars, threshold), texts, threshold), "links")
+        if not more.isEmpty():
+            classes = connected_components(links.unionByName(more))
 
     named = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
     named = named.join(classes, "node", "left").select("node", "least", F.coalesce("component", "node").alias("of"))
     ids = named.groupBy("of").agg(F.min("least").alias("class_id"))
-    named = named.join(ids, "of").select("node", "class_id")
+    named = materialise(named.join(ids, "of").select("node", "class_id"), "named")
     return rows.join(named, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
