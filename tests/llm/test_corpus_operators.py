@@ -199,6 +199,52 @@ def test_repeated_passages(spark, documents):
     assert substring_dedup.repeated_passages(docs.filter("false")).count() == 0
 
 
+def brute_passage(a, b, least, threshold=0.8):
+    """Whether runs from shared to shared shingle of at least ``least`` are that similar."""
+    ends = lambda x, y: [(i, j) for i in range(len(x)) for j in range(i + least, len(x) + 1) if x[i] in y and x[j - 1] in y]
+    for i, j in ends(a, set(b)):
+        for u, v in ends(b, set(a)):
+            x, y = set(a[i:j]), set(b[u:v])
+            if {a[i], a[j - 1]} <= y and {b[u], b[v - 1]} <= x and len(x & y) >= threshold * len(x | y):
+                return True
+    return False
+
+
+def test_verified_passages_equal_brute_force():
+    r = random.Random(4)
+    new = lambda n: [r.getrandbits(60) for _ in range(n)]
+    stream = lambda w: shingles.shingle_stream(np.array(w, np.uint64))
+
+    def edited(p, edits, most):
+        q = list(p)
+        for _ in range(edits):
+            i, kind = r.randrange(5, len(q) - 5), r.randrange(3)
+            q[i : i + (kind > 0) * r.randint(1, most)] = new((kind < 2) * r.randint(1, most))
+        return q
+
+    # Words put into the middle, or cut from it, leave two runs that are too short by themselves.
+    for n, k in ((50, 2), (60, 3), (70, 4), (80, 6), (98, 8)):
+        p = new(n)
+        q = p[: n // 2] + new(k) + p[n // 2 :]
+        for x, y in ((p, q), (q, p)):
+            found = substring_dedup.verify(stream(new(30) + x + new(30)), stream(new(20) + y + new(20)), 46)
+            assert [f[:4] for f in found] == [(30, 26 + len(x), 20, 16 + len(y))]
+            assert found[0][4] == pytest.approx((n - 8) / (n + k))
+    seen = 0
+    for _ in range(300):
+        p = new(r.randint(60, 200))
+        a, b = stream(p), stream(edited(p, r.randint(1, 4), 6))
+        if min(len(a), len(b)) >= 46 and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            seen += 1
+            assert substring_dedup.verify(stream(new(20) + p)[20:], b, 46)
+            assert substring_dedup.verify(b, a, 46)
+    assert seen > 50
+    for _ in range(60):
+        p = new(r.randint(14, 20))
+        a, b = stream(new(r.randint(0, 3)) + p), stream(edited(p, r.randint(0, 2), 2) + new(r.randint(0, 3)))
+        assert bool(substring_dedup.verify(a, b, 8)) == brute_passage(a.tolist(), b.tolist(), 8)
+
+
 def test_top_k(spark):
     c = duck(SF)
     ours, theirs = registry.op8_top_k(spark, SF).toPandas(), c.sql(registry.OP8_SQL).df()
