@@ -199,6 +199,21 @@ def test_repeated_passages(spark, documents):
     assert substring_dedup.repeated_passages(docs.filter("false")).count() == 0
 
 
+def test_passages_of_middle_documents(spark):
+    # Two documents share 60 words, 40 of which stand in many others with smaller and greater ids.
+    r = random.Random(11)
+    table, pairs = {}, []
+    for n in range(12):
+        line = prose(r, 40 if n % 2 else 45)
+        own = prose(r, 60 - len(line.split()))
+        table |= {1000 * k + n: f"{prose(r, 60)} {line} {prose(r, 60)}" for k in (*range(10), *range(20, 30))}
+        table |= {1000 * k + n: f"{prose(r, 60)} {line} {own} {prose(r, 60)}" for k in (12, 15)}
+        pairs.append((12000 + n, 15000 + n))
+    docs = spark.createDataFrame(list(table.items()), "doc_id long, text string")
+    got = substring_dedup.repeated_passages(docs).collect()
+    assert set(pairs) <= {tuple(sorted((x["doc_id"], x["other_doc_id"]))) for x in got}
+
+
 def brute_passage(a, b, least, threshold=0.8):
     """Whether runs from shared to shared shingle of at least ``least`` are that similar."""
     ends = lambda x, y: [(i, j) for i in range(len(x)) for j in range(i + least, len(x) + 1) if x[i] in y and x[j - 1] in y]
