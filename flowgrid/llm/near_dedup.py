@@ -3,27 +3,28 @@
 Weighted word shingles arrive at a signature's registers as Poisson processes whose rates are their
 weights; a shingle stops as soon as its next arrival can't be the first at any register. Signatures'
 bands become buckets. Exact copies are one node throughout. Each bucket's members are verified
-against its leader, then those of different classes against a few pivots and against more; a large
-group of near copies so becomes one class after a linear number of pairs. Members that still are
-outside their bucket's main class are verified against all members of other classes. Pairs are left
-out only where the shingles that a node has alone rule the threshold out, so every pair of different
-texts that shares a bucket is linked, directly or through its class, or known not to be similar.
+against its leader: the one of them that shares the most buckets with others, so the text from which
+a group of near copies stems. Where a bucket still holds several classes, its members get a sketch,
+one bit for each of many more registers; those of different classes whose sketches agree as they do
+at the threshold are verified, first against a few pivots, then against all. Only
+pairs that may be similar leave such a join, each in the first band that both share.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowgrid.llm.bpe import slices
-from flowgrid.llm.common import materialise
+from flowgrid.llm.common import discard, materialise, only_with
 from flowgrid.llm.components import connected_components
 from flowgrid.llm.shingles import WORDS, mix, similarity, weighted_shingles
 
@@ -31,8 +32,14 @@ from flowgrid.llm.shingles import WORDS, mix, similarity, weighted_shingles
 BANDS = 32
 ROWS = 6
 THRESHOLD = 0.8
-#: Mean pivots of a bucket in the rounds before classes that still share a bucket meet in full.
-PIVOTS = (8, 64)
+#: Mean pivots of a bucket of more than ``LARGE`` texts, in the round before classes that still share
+#: a bucket meet in full. Smaller buckets need none; the result is the same.
+PIVOTS = 4
+LARGE = 64
+#: Registers of a sketch, and the standard deviations by which a pair's sketches may differ more than
+#: is expected at the threshold: a pair at just 0.8 is missed with a probability of 1e-9.
+SKETCH = 2048
+DEVIATIONS = 6
 
 
 def prob_min_hash(shingles: np.ndarray, weights: np.ndarray, registers: int = BANDS * ROWS) -> np.ndarray:
@@ -44,17 +51,18 @@ def prob_min_hash(shingles: np.ndarray, weights: np.ndarray, registers: int = BA
     turn = 0
     while len(h):
         # Several arrivals at once while few shingles are left.
-        k = max(1, min(64, 2 * registers // len(h)))
+        k = max(1, min(64, 4 * registers // len(h)))
         turns = np.arange(turn + 1, turn + k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         turn += k
         draws = mix(h[:, None] + turns)
-        times = at[:, None] + np.cumsum(-np.log(((draws >> np.uint64(11)) + np.uint64(1)).astype(np.float64) * 2.0**-53), axis=1) / w[:, None]
-        where = mix(draws) % np.uint64(registers)
-        flat_t, flat_r = times.ravel(), where.ravel().astype(np.int64)
-        better = np.flatnonzero(flat_t < first[flat_r])
-        better = better[np.argsort(-flat_t[better], kind="stable")]  # the earliest is written last
-        first[flat_r[better]] = flat_t[better]
-        owner[flat_r[better]] = h[better // k]
+        times = -np.log(((draws >> np.uint64(11)) + np.uint64(1)).astype(np.float64) * 2.0**-53) / w[:, None]
+        if k > 1:
+            np.cumsum(times, axis=1, out=times)
+        times += at[:, None]
+        flat_t, flat_r = times.ravel(), (mix(draws) % np.uint64(registers)).view(np.int64).ravel()
+        np.minimum.at(first, flat_r, flat_t)
+        earliest = np.flatnonzero(flat_t == first[flat_r])
+        owner[flat_r[earliest]] = h[earliest // k]
         at = times[:, -1]
         left = at < first.max()
         h, w, at = h[left], w[left], at[left]
@@ -70,6 +78,25 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def sketch(shingles: np.ndarray, weights: np.ndarray, bits: int = SKETCH) -> np.ndarray:
+    """One bit for each register, 64 in a number: bits of two sketches differ with half the
+    probability that registers do."""
+    owner = prob_min_hash(shingles, weights, bits)
+    odd = mix(owner ^ (np.arange(1, bits + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) & np.uint64(1)
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def most_differing(threshold: float, bits: int = SKETCH) -> int:
+    """Bits in which the sketches of a pair at ``threshold`` differ at most, but for one pair in a billion."""
+    p = (1 - threshold) / 2
+    return int(bits * p + DEVIATIONS * (bits * p * (1 - p)) ** 0.5)
+
+
+def _node(h: np.ndarray, w: np.ndarray) -> bytes | None:
+    """The name of a text: a digest of its weighted shingles, none if it has no words."""
+    return hashlib.blake2b(h.tobytes() + w.tobytes(), digest_size=16).digest() if len(h) else None
+
+
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, node, bands): node is a digest of the text's weighted shingles, null without words."""
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
@@ -82,7 +109,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     h, w = weighted_shingles(t.as_py() or "")
                     if len(h):
                         nodes.append(hashlib.blake2b(h.tobytes() + w.tobytes(), digest_size=16).digest())
-                        bands.append(band_keys(prob_min_hash(h, w)))
+                        bands.append(band_keys(prob_min_hash(h, w)).astype(np.int32))
                     else:
                         nodes.append(None)
                         bands.append(None)
@@ -91,9 +118,9 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-@lru_cache(maxsize=256)
-def _parsed(text: str) -> tuple[np.ndarray, np.ndarray]:
-    return weighted_shingles(text)
+@lru_cache(maxsize=64)
+def _parsed(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return weighted_shingles(zlib.decompress(packed).decode())
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -110,75 +137,29 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return both.mapInArrow(run, schema)
 
 
-#: Of a node: shingles, those that no other node of a mixed bucket has, and both by weight.
-FACTS = ("n", "alone", "weight", "weight_alone")
-
-
 def _mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members, with their class and bucket's size, of the buckets that hold several classes."""
-    labelled = members.join(classes, "node", "left").withColumn("of", F.coalesce("component", "node")).drop("component")
-    mixed = labelled.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi"), F.count("*").alias("size")).filter(F.col("lo") != F.col("hi")).select("key", "size")
-    return materialise(labelled.join(materialise(mixed, "mixed"), "key"), "mixed")
-
-
-def _facts(labelled: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, *FACTS) for the nodes of mixed buckets."""
-    nodes = materialise(labelled.select("node").distinct().withColumn("id", F.monotonically_increasing_id()), "nodes")
-    each_schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("w", T.LongType())])
-
-    def shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for small in slices(batch, 64):
-                parsed = [weighted_shingles(t.as_py() or "") for t in small.column(1)]
-                ids = np.repeat(np.array(small.column(0).to_pylist(), np.int64), [len(h) for h, _ in parsed])
-                h = np.concatenate([h for h, _ in parsed] or [np.zeros(0, np.uint64)]).view(np.int64)
-                w = np.concatenate([w for _, w in parsed] or [np.zeros(0, np.int64)]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h), pa.array(w)], names=each_schema.names)
-
-    each = nodes.join(texts, "node").select("id", "text").mapInArrow(shingles_of, each_schema)
-    each = materialise(each, "shingles")
-    sizes = each.groupBy("id").agg(F.count("*").alias("n"), F.sum("w").alias("weight"))
-    alone = each.groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id"), F.min("w").alias("w")).filter("c = 1").groupBy("id").agg(F.count("*").alias("alone"), F.sum("w").alias("weight_alone"))
-    facts = nodes.join(sizes, "id").join(alone, "id", "left").select("node", "n", F.coalesce("alone", F.lit(0)).alias("alone"), "weight", F.coalesce("weight_alone", F.lit(0)).alias("weight_alone"))
-    return materialise(facts, "facts")
-
-
-def _can_reach(a: dict[str, Column], b: dict[str, Column], threshold: float) -> Column:
-    """Whether two nodes' facts leave room for a similarity of ``threshold``. No true pair is lost:
-    what a node has alone isn't in the intersection but is in the union, and a probability Jaccard
-    similarity is at most the weight in common."""
-    common = F.least(a["n"] - a["alone"], b["n"] - b["alone"])
-    union = F.greatest(a["n"] + b["alone"], b["n"] + a["alone"])
-    as_sets = common >= threshold * union - 1e-9
-    weighted = (a["weight"] != a["n"]) | (b["weight"] != b["n"])
-    in_common = F.least(1 - a["weight_alone"] / a["weight"], 1 - b["weight_alone"] / b["weight"]) >= threshold - 1e-9
-    return as_sets | (weighted & in_common)
-
-
-def _side(labelled: DataFrame, name: str) -> tuple[DataFrame, dict[str, Column]]:
-    """``labelled`` under new names: the node, its class and facts."""
-    facts = {c: F.col(f"{c}_{name}") for c in FACTS}
-    return labelled.select("key", F.col("node").alias(name), F.col("of").alias(f"of_{name}"), *[F.col(c).alias(f"{c}_{name}") for c in FACTS]), facts
-
-
-def _pivot_pairs(labelled: DataFrame, pivots: int, threshold: float) -> DataFrame:
-    """Each member with its bucket's pivots of other classes. A node is a pivot by its own hash, the
-    same in all buckets, with the chance that gives a bucket so many on average."""
-    chance = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(1 << 30)) / float(1 << 30)
-    left, of_left = _side(materialise(labelled.filter(chance * F.col("size") < pivots), "pivots"), "p")
-    right, of_right = _side(labelled, "m")
-    met = left.join(right, "key").filter((F.col("of_p") != F.col("of_m")) & _can_reach(of_left, of_right, threshold))
-    return materialise(met.select(F.least("p", "m").alias("a"), F.greatest("p", "m").alias("b")).distinct(), "met")
-
-
-def _rest(labelled: DataFrame, stars: DataFrame, threshold: float) -> DataFrame:
-    """Every pair of a member outside its bucket's main class with one of another class, but those
-    that have met at a leader and those that can't be similar."""
-    main = labelled.groupBy("key", "of").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("of", "c").alias("main"))
-    left, of_left = _side(labelled.join(materialise(main, "main"), "key").filter(F.col("of") != F.col("main")), "p")
-    right, of_right = _side(labelled, "m")
-    rest = left.join(right, "key").filter((F.col("of_p") != F.col("of_m")) & _can_reach(of_left, of_right, threshold)).select(F.least("p", "m").alias("a"), F.greatest("p", "m").alias("b")).distinct()
-    return materialise(rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
+    """Members, with their class and bucket's size and main class, of the buckets with several classes."""
+    labelled = members.join(classes.select("node", "component"), "node", "left").withColumn("of", F.coalesce("component", "node")).drop("component")
+    counts = labelled.groupBy("key", "of").agg(F.count("*").alias("c"))
+    mixed = counts.groupBy("key").agg(F.count("*").alias("classes"), F.sum("c").alias("size"), F.max_by("of", F.struct("c", "of")).alias("main")).filter("classes > 1").drop("classes")
+    mixed = materialise(mixed, "mixed", reduced=True)
+    out = materialise(labelled.join(mixed, "key"), "mixed", reduced=True)
+    discard(mixed)
+    return out
+
+
+def _close_pairs(left: DataFrame, right: DataFrame, sketches: DataFrame, threshold: float, each_once: bool) -> DataFrame:
+    """Pairs (a, b) of different classes in one bucket whose sketches differ no more than those of
+    similar texts, each in the first band that they share. ``each_once``: both sides may hold both."""
+    sides = [x.join(sketches, "node").select("key", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "of", "main", "bands", "weighted", "plain")]) for x, n in ((left, "p"), (right, "m"))]
+    differ = "aggregate(zip_with({0}, {1}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    most = most_differing(threshold)
+    weights = "plain_p is null and plain_m is null"
+    near = f"{differ.format('weighted_p', 'weighted_m')} <= {most} or (not ({weights}) and {differ.format('coalesce(plain_p, weighted_p)', 'coalesce(plain_m, weighted_m)')} <= {most})"
+    first = "array_position(zip_with(bands_p, bands_m, (x, y) -> x = y), true) = array_position(bands_p, cast(shiftright(shiftleft(key, 32), 32) as int))"
+    once = "(of_m = main_m or node_p < node_m)" if each_once else "true"
+    met = sides[0].join(sides[1], "key").filter(f"of_p != of_m and {once} and ({near}) and {first}")
+    return met.select(F.least("node_p", "node_m").alias("a"), F.greatest("node_p", "node_m").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -192,52 +173,84 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = signed.select("doc_id", "node")
     buckets = signed.filter(F.col("node").isNotNull()).select("node", F.explode("bands").alias("key"))
     # Copies of a text and lone texts go here: from the third line on, buckets hold different texts.
-    leaders = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter(F.col("leader") != F.col("last")).drop("last")
-    members = materialise(buckets.join(leaders, "key").select("key", "leader", "node").distinct(), "buckets")
-    stars = materialise(members.filter(F.col("leader") != F.col("node")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    wanted = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
-    wanted = materialise(wanted, "wanted")
+    several = buckets.groupBy("key").agg(F.min(F.xxhash64("node")).alias("lo"), F.max(F.xxhash64("node")).alias("hi")).filter("lo != hi").select("key")
+    several = materialise(several, "several", reduced=True)
+    members = materialise(buckets.join(several, "key").distinct(), "buckets")
+    discard(several)
+    sizes = materialise(members.groupBy("key").agg(F.count("*").alias("size")), "sizes", reduced=True)
+    central = members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("central"))
+    leaders = members.join(central, "node").groupBy("key").agg(F.max(F.struct("central", "node")).alias("x")).select("key", F.col("x.node").alias("leader"))
+    leaders = materialise(leaders, "leaders", reduced=True)
+    stars = members.join(leaders, "key").filter(F.col("leader") != F.col("node"))
+    stars = materialise(stars.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars", reduced=True)
     # One row with its text for each node that is in a pair.
-    chosen = rows.filter(F.col("node").isNotNull()).join(wanted, "node", "left_semi")
+    wanted = materialise(members.select("node").distinct(), "wanted", reduced=True)
+    discard(sizes, leaders)
+    one = materialise(rows.filter(F.col("node").isNotNull()).join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "one", reduced=True)
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    one = chosen.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     texts = materialise(_texts_of(one, given), "texts")
+    sketches = texts.drop("text")
+    discard(wanted, one)
     links = materialise(_verified(stars, texts, threshold), "links")
+    discard(stars)
     classes = connected_components(links)
 
     labelled = _mixed(members, classes)
-    if not labelled.isEmpty():
-        members = materialise(labelled.join(_facts(labelled, texts), "node").select("key", "node", *FACTS), "members")
-        for pivots in PIVOTS:
-            more = materialise(_verified(_pivot_pairs(labelled := _mixed(members, classes), pivots, threshold), texts, threshold), "links")
-            if not more.isEmpty():
-                links = materialise(links.unionByName(more).distinct(), "links")
-                classes = connected_components(links)
-        labelled = _mixed(members, classes)
-        more = materialise(_verified(_rest(labelled, stars, threshold), texts, threshold), "links")
+    chance = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30)
+    for pivots in (True, False):
+        right = labelled.filter(F.col("size") > LARGE) if pivots else labelled
+        left = right.filter(chance * F.col("size") < PIVOTS) if pivots else right.filter("of != main")
+        if left.isEmpty():
+            continue
+        met = materialise(_close_pairs(left, right, sketches, threshold, not pivots).distinct(), "met")
+        more = materialise(_verified(met, texts, threshold), "links")
+        discard(met)
         if not more.isEmpty():
-            classes = connected_components(links.unionByName(more))
+            stale, links = [links, classes, more], materialise(links.unionByName(more).distinct(), "links", reduced=True)
+            classes = connected_components(links)
+            if pivots:
+                stale.append(labelled)
+                labelled = _mixed(members, classes)
+            discard(*stale)
+    discard(members, texts, labelled, links)
 
     named = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = named.join(classes, "node", "left").select("node", "least", F.coalesce("component", "node").alias("of"))
+    named = named.join(classes.select("node", "component"), "node", "left").select("node", "least", F.coalesce("component", "node").alias("of"))
     ids = named.groupBy("of").agg(F.min("least").alias("class_id"))
-    named = materialise(named.join(ids, "of").select("node", "class_id"), "named")
+    named = materialise(named.join(ids, "of").select("node", "class_id"), "named", reduced=True)
+    discard(classes)
     return rows.join(named, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def _texts_of(one: DataFrame, given: DataFrame) -> DataFrame:
-    """(node, text) for nodes named by a doc_id; of rows that share an id, the one with the node."""
-    joined = given.join(one, given["doc_id"].eqNullSafe(one["doc_id"])).select("node", "text")
-    schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("text", T.StringType())])
+    """(node, text, bands, weighted, plain) for nodes named by a doc_id; of rows that share an id, the
+    one with the node. Texts are compressed, since they move several times. With 32 bits of each band's key, and sketches of the weighted shingles and,
+    where weights differ, of their set."""
+    plain = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("text", T.StringType())])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for small in slices(batch, 256):
+                yield pa.RecordBatch.from_arrays([pa.array([_node(*weighted_shingles(t.as_py() or "")) for t in small.column(0)], pa.binary()), small.column(0)], names=plain.names)
+
+    nameless = given.filter("doc_id is null").select("text").mapInArrow(named, plain).join(one.filter("doc_id is null").select("node"), "node")
+    joined = only_with(given, "doc_id", one).join(one, "doc_id").select("node", "text").unionByName(nameless)
+    lists = {"bands": (T.IntegerType(), pa.int32()), "weighted": (T.LongType(), pa.int64()), "plain": (T.LongType(), pa.int64())}
+    schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("text", T.BinaryType()), *[T.StructField(c, T.ArrayType(t)) for c, (t, _) in lists.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for small in slices(batch):
-                right = []
+            for small in slices(batch, 256):
+                right, packed, facts = [], [], []
                 for node, t in zip(small.column(0), small.column(1), strict=True):
                     h, w = weighted_shingles(t.as_py() or "")
-                    right.append(hashlib.blake2b(h.tobytes() + w.tobytes(), digest_size=16).digest() == node.as_py())
-                yield small.filter(pa.array(right, pa.bool_()))
+                    right.append(_node(h, w) == node.as_py())
+                    if right[-1]:
+                        packed.append(zlib.compress(t.as_py().encode(), 1))
+                        plain = None if w.max() == 1 else sketch(h, np.ones(len(w), np.int64))
+                        facts.append((band_keys(prob_min_hash(h, w)).astype(np.int32), sketch(h, w), plain))
+                nodes = small.column(0).filter(pa.array(right, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([nodes, pa.array(packed, pa.binary()), *[pa.array([f[k] for f in facts], pa.list_(t)) for k, (_, t) in enumerate(lists.values())]], names=schema.names)
 
     return joined.mapInArrow(run, schema).dropDuplicates(["node"])
 
@@ -248,5 +261,6 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     The document with the class's least id stays; rows that repeat its id stay with it, and so do
     rows without an id.
     """
-    gone = near_duplicates(docs, doc_id, text, threshold).filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, doc_id, text, threshold).filter(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return whole.join(gone, F.col("row").getField(doc_id).cast("long") == F.col("doc_id"), "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
