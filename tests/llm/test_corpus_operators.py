@@ -184,7 +184,7 @@ def test_repeated_passages(spark, documents):
     table |= {950: f"{prose(r, 80)} {' '.join(edited)}", 960: f"{prose(r, 80)} {short} {prose(r, 20)}", 961: f"{short} {prose(r, 90)}", 970: None, 971: "", 972: prose(r, 300)}
     docs = spark.createDataFrame([(k, t, 1) for k, t in table.items()] + [(None, passage, 1)], "doc_id long, text string, key int")
     got = substring_dedup.repeated_passages(docs).toPandas()
-    named = set(got.doc_id) | set(got.other_doc_id)
+    named = set(got.doc_id)
     holders = defaultdict(set)
     for k, t in table.items():
         w = words(t)
@@ -211,7 +211,9 @@ def test_passages_of_middle_documents(spark):
         pairs.append((12000 + n, 15000 + n))
     docs = spark.createDataFrame(list(table.items()), "doc_id long, text string")
     got = substring_dedup.repeated_passages(docs).collect()
-    assert set(pairs) <= {tuple(sorted((x["doc_id"], x["other_doc_id"]))) for x in got}
+    of = {x["doc_id"]: x["class_id"] for x in got}
+    assert all(of[a] == of[b] for a, b in pairs)
+    assert not {k for k in table if k // 1000 not in (12, 15)} & set(of)
 
 
 def brute_passage(a, b, least, threshold=0.8):
