@@ -99,25 +99,25 @@ def shared_lines(hashes: DataFrame, batches: int, buckets: int | None = None, fa
     ``hashes`` has columns doc, h and batch (0 to batches - 1, in the order of doc).
     """
     spark = hashes.sparkSession
-    buckets = buckets or min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4096)
+    buckets = buckets or min(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8), 4096)
     store, found = LineRuns(spark, buckets, fan_out), []
     for b in range(batches):
         # One row per hash before anything is joined: a line that a third of all documents hold
         # is one row from here on.
         own = hashes.filter(F.col("batch") == b).groupBy("h").agg(F.min("doc").alias("first_doc"), (F.min("doc") != F.max("doc")).alias("several"))
-        own = materialise(own, "batch")
+        own = materialise(own, "batch", reduced=True)
         fresh = own
         for run in store.runs():
             seen = own.select("h").join(run.hint("merge"), "h")
-            found.append(materialise(seen, "seen"))
+            found.append(materialise(seen, "seen", reduced=True))
             fresh = fresh.join(run.select("h").hint("merge"), "h", "left_anti")
         found.append(fresh.filter("several").select("h", "first_doc"))
         if b < batches - 1:
-            fresh = materialise(fresh, "fresh")
+            fresh = materialise(fresh, "fresh", reduced=True)
             found[-1] = fresh.filter("several").select("h", "first_doc")
             store.add(fresh)
         else:
-            found[-1] = materialise(found[-1], "shared")
+            found[-1] = materialise(found[-1], "shared", reduced=True)
     store.clear()
     # A hash is seen again in each later batch that holds it; its first document is the same.
     return reduce(DataFrame.unionByName, found).groupBy("h").agg(F.min("first_doc").alias("first_doc"))
@@ -137,7 +137,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batc
     batch = sum([(F.col("doc") > c).cast("int") for c in cuts], F.lit(0))
     lines = materialise(hashes.withColumn("batch", batch), "lines")
     # Written first, so that the join's sides are plain shuffles and a common line's can be split.
-    shared = materialise(shared_lines(lines, batches), "shared")
+    shared = materialise(shared_lines(lines, batches), "shared", reduced=True)
     drops = lines.join(shared, "h").filter(F.col("doc") != F.col("first_doc")).groupBy("doc").agg(F.collect_set("h").alias("_drops"))
     given = docs.select(F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in names if c != text]).alias("_row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("_doc"), F.col(text).cast("string").alias("_text"))
     joined = given.join(drops.hint("shuffle_hash"), F.col("_doc") == F.col("doc"), "left").select("_row", "_text", "_drops")
