@@ -6,15 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowgrid.functions.scalar import clean, finite, text_or_empty, to_decimal
-from flowgrid.schemas import CATEGORICAL, DROPPED_FIELDS, FEATURES, TARGETS
-
-# The classes that exact detailed labels belong to.
-PAPER_CLASSES = {
-    "DDoS": ["DDoS"],
-    "Mirai": ["C&C-Mirai", "Mirai"],
-    "Web-based": ["Attack", "FileDownload"],
-    "Recon": ["PartOfAHorizontalPortScan"],
-}
+from flowgrid.schemas import CATEGORICAL, DROPPED_FIELDS, FEATURES, PAPER_CLASSES, TARGETS
 
 
 def binary_target(label: Column | str, strict: bool = True) -> Column:
@@ -23,14 +15,30 @@ def binary_target(label: Column | str, strict: bool = True) -> Column:
     return known.otherwise(F.raise_error(F.concat(F.lit("unknown label: "), text_or_empty(label))).cast("int")) if strict else known
 
 
-def class_map(label: Column | str, detail: Column | str, classes: dict[str, list[str]] | None = None) -> Column:
-    """Benign by the label, else the class of the exact detailed label, else an empty string."""
-    found = F.when(clean(label) == "benign", "Benign")
-    for name, details in (classes or PAPER_CLASSES).items():
-        found = found.when(text_or_empty(detail).isin(details), name)
+def class_map(label: Column | str, detail: Column | str, classes: dict[str, str] | None = None) -> Column:
+    """Benign by the label, else the class of the exact, trimmed detailed label, else an empty string.
+
+    A label that is neither benign nor malicious fails, whatever its detail says.
+    """
+    found = F.when(binary_target(label) == TARGETS["benign"], "Benign")
+    for known, name in (classes or PAPER_CLASSES).items():
+        found = found.when(F.trim(text_or_empty(detail)) == known, name)
     return found.otherwise("")
 
 
+def require_class(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df``, or a failure if no row has the class ``name``."""
+    if df.filter(F.col(column) == name).isEmpty():
+        raise ValueError(f"no row of class {name}")
+    return df
+
+
+def class_counts(df: DataFrame, column: str = "paper_class", detail: str = "detailed-label") -> DataFrame:
+    """Rows of each class and detailed label; details without a class are marked unresolved."""
+    counted = df.groupBy(F.col(column).alias("class"), F.col(f"`{detail}`").alias("detail")).agg(F.count("*").alias("n"))
+    return counted.withColumn("unresolved", F.col("class") == "")
+
+
 def prepare_flows(raw: DataFrame, source_file: str | Column = "source_file", source_row: str | Column = "source_row") -> DataFrame:
     """17 features as they stand, and label, details, target and provenance."""
     named = lambda c: F.col(c) if isinstance(c, str) else c

@@ -67,12 +67,13 @@ def bounds(df: DataFrame, ts: str, by: str | None = None) -> DataFrame:
 
 
 def find_label_column(columns: list[str]) -> str | None:
-    """The first candidate that is there, first by exact name, then in any case."""
-    for c in LABEL_CANDIDATES:
-        if c in columns:
-            return c
-    low = {c.strip().lower(): c for c in reversed(columns)}
-    return next((low[c.lower()] for c in LABEL_CANDIDATES if c.lower() in low), None)
+    """The best-ranked column: candidates in their order by exact name, then in any case and without
+    white space around; of columns that are alike but for that, the last."""
+    exact = {c: k for k, c in reversed(list(enumerate(LABEL_CANDIDATES)))}
+    loose = {c.lower(): len(exact) + k for k, c in reversed(list(enumerate(LABEL_CANDIDATES)))}
+    ranked = [(min(exact.get(c, 2 * len(exact)), loose.get(c.strip().lower(), 2 * len(exact))), -at, c) for at, c in enumerate(columns)]
+    rank, _, name = min(ranked, default=(2 * len(exact), 0, None))
+    return name if rank < 2 * len(exact) else None
 
 
 def file_inventory(df: DataFrame, label: str | None = None) -> DataFrame:

@@ -68,10 +68,14 @@ def binary_target(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", prepare.binary_target(label).alias("target"))
 
 
-@query("""SELECT event_id, CASE event_type WHEN 'view' THEN 'Benign' WHEN 'error' THEN 'DDoS' WHEN 'click' THEN 'Recon' ELSE '' END AS paper_class FROM events""")
+_DETAILS = ["DDoS", "Okiru", "Kenjiro", "Hakai", "Hajime", "Muhstik", "Attack", "PartOfAHorizontalPortScan", "C&C", "Okiru-Attack", "C&C-Mirai", "FileDownload", "-"]
+
+
+@query(f"""SELECT event_id, CASE WHEN event_type = 'view' THEN 'Benign' ELSE CASE event_id % {len(_DETAILS)} WHEN 0 THEN 'DDoS' WHEN 1 THEN 'Mirai' WHEN 2 THEN 'Mirai' WHEN 3 THEN 'Mirai' WHEN 4 THEN 'Mirai' WHEN 5 THEN 'Mirai' WHEN 6 THEN 'Web-based' WHEN 7 THEN 'Recon' WHEN 8 THEN 'Recon' ELSE '' END END AS paper_class FROM events""")
 def class_map(spark: SparkSession, sf: str) -> DataFrame:
-    label = F.when(F.col("event_type") == "view", "benign").otherwise("malicious")
-    return table(spark, sf, "events").select("event_id", prepare.class_map(label, "event_type", {"DDoS": ["error"], "Recon": ["click"]}).alias("paper_class"))
+    label = F.when(F.col("event_type") == "view", " Benign").otherwise("MALICIOUS")
+    detail = F.element_at(F.array(*map(F.lit, _DETAILS)), (F.col("event_id") % len(_DETAILS) + 1).cast("int"))
+    return table(spark, sf, "events").select("event_id", prepare.class_map(label, detail).alias("paper_class"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 20")
@@ -79,9 +83,16 @@ def label_counts(spark: SparkSession, sf: str) -> DataFrame:
     return profile.label_counts(table(spark, sf, "events"), "event_type").orderBy(F.desc("n"), "event_type").limit(20)
 
 
-@query(f"SELECT lang AS label, count(*) AS n, {R('count(*) / CAST(sum(count(*)) OVER () AS DOUBLE)')} AS fraction, CASE WHEN lang = '' THEN 'unlabelled' ELSE 'malicious' END AS guess FROM documents GROUP BY lang")
+_TOKENS = {"en": " Normal Traffic", "de": "benign_traffic", "fr": "BenignTraffic", "es": "background"}
+
+
+@query(f"""WITH t AS (SELECT CASE lang WHEN 'en' THEN 'normal traffic' WHEN 'de' THEN 'benign_traffic' WHEN 'fr' THEN 'benigntraffic' WHEN 'es' THEN 'background' ELSE '' END AS label FROM documents)
+SELECT label, count(*) AS n, {R('count(*) / CAST(sum(count(*)) OVER () AS DOUBLE)')} AS fraction, CASE WHEN label = '' THEN 'unlabelled' WHEN label = 'background' THEN 'malicious' ELSE 'benign' END AS guess FROM t GROUP BY label""")
 def label_fraction(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.label_distribution(table(spark, sf, "documents"), "lang").withColumn("fraction", rounded("fraction"))
+    label = F.lit("")
+    for lang, token in _TOKENS.items():
+        label = F.when(F.col("lang") == lang, token).otherwise(label)
+    return profile.label_distribution(table(spark, sf, "documents").select(label.alias("label")), "label").withColumn("fraction", rounded("fraction"))
 
 
 _MARKED = "CASE event_id % 7 WHEN 0 THEN '-' WHEN 1 THEN ' NaN ' WHEN 2 THEN '(empty)' WHEN 3 THEN '' ELSE event_type END"
@@ -392,9 +403,12 @@ def overlap_stats(spark: SparkSession, sf: str) -> DataFrame:
     return hashes.overlap_stats(doc_items(spark, sf)).withColumn("seen_fraction", rounded("seen_fraction"))
 
 
-@query(f"WITH {DI} SELECT *, least(validation_benign, validation_malicious) AS minimum_errors FROM hg WHERE train_benign + validation_benign > 0 AND train_malicious + validation_malicious > 0")
+@query("""WITH k AS (SELECT concat(d.lang, '-', d.n_chars // 500) AS hash, d.doc_id % 5 AS part, l.quality = 0 AS bad FROM documents d JOIN labels l USING (doc_id) WHERE d.doc_id % 5 <> 1),
+g AS (SELECT hash, count(*) FILTER (part > 1 AND NOT bad) AS train_benign, count(*) FILTER (part > 1 AND bad) AS train_malicious, count(*) FILTER (part = 0 AND NOT bad) AS validation_benign, count(*) FILTER (part = 0 AND bad) AS validation_malicious FROM k GROUP BY hash)
+SELECT *, least(validation_benign, validation_malicious) AS minimum_errors FROM g WHERE train_benign + validation_benign > 0 AND train_malicious + validation_malicious > 0""")
 def conflicts(spark: SparkSession, sf: str) -> DataFrame:
-    return hashes.conflicts(hashes.hash_groups(doc_items(spark, sf)))
+    coarse = F.concat_ws("-", "lang", F.floor(F.col("n_chars") / 500).cast("string"))
+    return hashes.conflicts(hashes.hash_groups(doc_items(spark, sf).withColumn("hash", coarse)))
 
 
 @query(f"WITH {DI} SELECT * FROM looked")
@@ -488,12 +502,14 @@ def cross_entropy(spark: SparkSession, sf: str) -> DataFrame:
 # --- inventories and selection -------------------------------------------------------------------
 
 
-@query()
+@query("SELECT count(*) AS rows, count(DISTINCT lang) AS distinct_labels FROM documents")
 def file_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.file_inventory(table(spark, sf, "documents"), "lang")
+    files = profile.file_inventory(table(spark, sf, "documents"), "lang")
+    return files.select("rows", "distinct_labels")  # SQL knows neither files' names nor their bytes
 
 
-@query()
+@query("""SELECT columns, column_count, count(*) AS files, min(file) AS example_file FROM (SELECT table_name AS file, string_agg(column_name, '|' ORDER BY ordinal_position) AS columns, CAST(count(*) AS INTEGER) AS column_count
+FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events') GROUP BY table_name) GROUP BY columns, column_count""")
 def schema_inventory(spark: SparkSession, sf: str) -> DataFrame:
     names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
     rows = [(n, table(spark, sf, n).columns) for n in names]

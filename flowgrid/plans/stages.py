@@ -29,12 +29,22 @@ def audit(spark: SparkSession, folder: str, out: str, recursive: bool = False, l
 
 
 def external_audit(spark: SparkSession, folder: str, out: str, label: str | None = None, threshold: float = 0.999) -> dict:
-    """Any CSV tree: column profiles of all files of one schema together; blank labels stay apart."""
-    df = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]").csv(folder)
-    found = label or profile.find_label_column(df.columns)
-    manifest = sinks.write_stage(profile.column_profile(df, df.columns, threshold), f"{out}/columns", {"stage": "external_audit", "folder": folder, "label": found})
-    if found:
-        sinks.write_stage(profile.label_distribution(df, f"`{found}`"), f"{out}/labels", {"stage": "external_labels", "folder": folder, "label": found})
+    """Any CSV tree: column profiles of all files of one schema together; blank labels stay apart.
+
+    Files are read by groups of one header, so that values stand under their own file's names.
+    """
+    groups = flows.headers(spark, folder).groupBy("columns").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("columns").collect()
+    profiles, labels, names = [], [], []
+    for k, group in enumerate(groups):
+        df = spark.read.option("header", True).csv(group["files"])
+        profiles.append(profile.column_profile(df, df.columns, threshold).withColumn("schema", F.lit(k)))
+        found = label or profile.find_label_column(df.columns)
+        names.append(found)
+        if found:
+            labels.append(profile.label_distribution(df, f"`{found}`").withColumn("schema", F.lit(k)))
+    manifest = sinks.write_stage(prepare.union_blocks(profiles), f"{out}/columns", {"stage": "external_audit", "folder": folder, "label": names})
+    if labels:
+        sinks.write_stage(prepare.union_blocks(labels), f"{out}/labels", {"stage": "external_labels", "folder": folder, "label": names})
     return manifest
 
 
@@ -71,10 +81,9 @@ def split_stage(spark: SparkSession, folder: str, out: str, seed: int = 42, fold
     sinks.write_stage(manifest, f"{out}/windows", {"stage": "windows", "input": folder, "seed": seed, "fold": fold})
     placed = rows.join(_in(spark, f"{out}/windows").select("window_id", "split"), "window_id")
     train = F.col("split") == "train"
-    for c in CATEGORICAL:
-        known = placed.filter(train & F.col(f"`{c}`").isNotNull()).select(F.col(f"`{c}`").alias("_known")).distinct()
-        joined = placed.join(encode.small(known), F.col(f"`{c}`") == F.col("_known"), "left")
-        placed = joined.withColumn(c, F.when(F.col(f"`{c}`").isNull(), -2).when(F.col("_known").isNull(), -1).otherwise(F.col(f"`{c}`"))).drop("_known")
+    fitted = [encode.fit_category(placed, c, train) for c in CATEGORICAL]
+    for f in fitted:  # known values get dense codes of the training rows
+        placed = f.transform(placed, "_coded").drop(F.col(f"`{f.column}`")).withColumnRenamed("_coded", f.column)
     placed = encode.impute(placed, encode.fit_medians(placed, NUMERIC, train))
     return sinks.write_stage(placed, out, {"stage": "split", "input": folder, "seed": seed, "fold": fold}, ["split"])
 
@@ -85,7 +94,7 @@ def select_stage(spark: SparkSession, folder: str, out: str, without: tuple[str,
     names = {f: f.replace(".", "_") for f in FEATURES if f not in without}
     rows = df.filter(F.col("split") == "train").select("row_idx", "target", *[F.col(f"`{f}`").alias(n) for f, n in names.items()])
     ranked, model = select.select_features(rows, list(names.values()), "row_idx", keep=keep, trees=trees, depth=depth, shap_per_class=shap_per_class)
-    model.write().overwrite().save(f"{out}/model")
+    model.write().save(f"{out}/model")
     return sinks.write_stage(ranked, out, {"stage": "select", "input": folder, "without": list(without), "trees": trees, "depth": depth})
 
 

@@ -15,11 +15,14 @@ RENAMED = {"det_label": "detailed-label"}
 # What stands for a missing value, after trimming, in any case; and an empty set.
 MISSING_MARKERS = ["", "-", "nan", "null", "none"]
 EMPTY_MARKER = "(empty)"
-BENIGN_TOKENS = ["benign", "normal", "benigntraffic", "benign traffic", "background"]
+# Labels, trimmed and in lower case, that mean benign traffic.
+BENIGN_TOKENS = ["benign", "normal", "normal traffic", "benigntraffic", "benign_traffic"]
 TARGETS = {"benign": 0, "malicious": 1}
 SPLITS = {"train": 0, "validation": 1, "test": 2, "unused": -1}
 # Names under which a label column is looked for, in this order.
-LABEL_CANDIDATES = ["label", "Label", "class", "Class", "attack", "Attack", "category", "Category", "Attack Type", "attack_type", "type", "Type"]
+LABEL_CANDIDATES = ["label", "Label", "LABEL", "attack", "Attack", "attack_type", "Attack_Type", "Attack Type", "type", "Type", "category", "Category", "traffic_type", "Traffic_Type", "Traffic Type"]
+# The class of each exact detailed label.
+PAPER_CLASSES = {"DDoS": "DDoS", "Okiru": "Mirai", "Kenjiro": "Mirai", "Hakai": "Mirai", "Hajime": "Mirai", "Muhstik": "Mirai", "Attack": "Web-based", "PartOfAHorizontalPortScan": "Recon", "C&C": "Recon"}
 WINDOW_ROWS = 15
 UNKNOWN_CODE, MISSING_CODE = -1, -2
 

@@ -86,8 +86,8 @@ def read_flows(spark: SparkSession, path: str, expected: list[str] | None = None
 
 
 def read_prefix(spark: SparkSession, path: str, rows: int, expected: list[str] | None = None) -> DataFrame:
-    """The first ``rows`` records by position."""
-    return read_flows(spark, path, expected).filter(F.col("source_row") <= rows)
+    """The first ``rows`` records by position; blank lines don't count as records here."""
+    return read_flows(spark, path, expected).orderBy("source_row").limit(rows)
 
 
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -108,6 +108,13 @@ def read_json(spark: SparkSession, path: str) -> dict:
     return json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
 
 
+def headers(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, columns) of every CSV file below a folder, columns in their order."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]").text(folder).select(F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    first = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    return first.select("file", F.split(F.regexp_replace("header", "^\\uFEFF|\\r$", ""), ",").alias("columns"))
+
+
 def blank_lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered_lines(spark, path).filter(F.trim("line") == "").groupBy("file").agg(F.count("*").alias("blank_rows"))
 

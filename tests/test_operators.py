@@ -251,6 +251,8 @@ def test_labels(spark):
     with pytest.raises(Exception, match="unknown label"):
         spark.createDataFrame([("other",)], "l string").select(prepare.binary_target("l")).collect()
     assert profile.find_label_column(["x", "Attack Type"]) == "Attack Type" and profile.find_label_column(["TYPE"]) == "TYPE" and profile.find_label_column(["x"]) is None
+    assert profile.find_label_column(["class", "Traffic_Type"]) == "Traffic_Type" and profile.find_label_column(["aTTACK", "tYPE", "Attack_type "]) == "aTTACK"
+    assert profile.find_label_column(["LaBEL", "laBel"]) == "laBel" and profile.find_label_column(["type", "attack"]) == "attack" and profile.find_label_column(["class"]) is None
     got = {r["label"]: (r["n"], r["guess"]) for r in profile.label_distribution(spark.createDataFrame([("BENIGN",), ("Benign",), ("",), (None,), ("x",)], "l string"), "l").collect()}
     assert got == {"benign": (2, "benign"), "": (2, "unlabelled"), "x": (1, "malicious")}
 
@@ -260,3 +262,16 @@ def test_labels(spark):
 def test_band_edges(values):
     bands = [min(20, max(0, math.floor((v + 1) * 10.5))) for v in values]
     assert all(0 <= b <= 20 for b in bands)
+
+
+def test_classes_of_details(spark):
+    rows = [("Malicious", d) for d in ("DDoS", " Okiru ", "Kenjiro", "Hakai", "Hajime", "Muhstik", "Attack", "PartOfAHorizontalPortScan", "C&C", "Okiru-Attack", "C&C-Mirai", "FileDownload", None)]
+    df = spark.createDataFrame([*rows, (" benign", "DDoS")], "label string, `detailed-label` string")
+    classed = df.withColumn("paper_class", prepare.class_map("label", "`detailed-label`"))
+    assert [r["paper_class"] for r in classed.collect()] == ["DDoS", *["Mirai"] * 5, "Web-based", "Recon", "Recon", "", "", "", "", "Benign"]
+    assert sum(r["n"] for r in prepare.class_counts(classed).filter("unresolved").collect()) == 4
+    assert prepare.require_class(classed, "paper_class", "Mirai").count() == 14
+    with pytest.raises(ValueError, match="Mirai"):
+        prepare.require_class(classed.filter("paper_class = ''"), "paper_class", "Mirai")
+    with pytest.raises(Exception, match="unknown label"):
+        spark.createDataFrame([("other", "DDoS")], "l string, d string").select(prepare.class_map("l", "d")).collect()

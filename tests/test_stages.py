@@ -58,6 +58,17 @@ def test_stages(spark, raw, tmp_path, monkeypatch):
         cli.main(["split", "--folder", at("coded"), "--out", at("split"), "--fold", "1"])
 
 
+def test_external_audit_by_header(spark, tmp_path):
+    (tmp_path / "in/deep").mkdir(parents=True)
+    (tmp_path / "in/a.csv").write_text("n,Label\n1,Normal Traffic\n2,x\n")
+    (tmp_path / "in/deep/b.csv").write_text("Label,n\nbenign_traffic,3\n,4\n")
+    stages.external_audit(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    numeric = spark.read.parquet(f"{tmp_path}/out/columns/data").filter("column = 'n'").collect()
+    assert sorted((r["least"], r["greatest"], r["not_numeric"]) for r in numeric) == [(1, 2, 0), (3, 4, 0)]
+    guessed = {r["label"]: r["guess"] for r in spark.read.parquet(f"{tmp_path}/out/labels/data").collect()}
+    assert guessed == {"normal traffic": "benign", "x": "malicious", "benign_traffic": "benign", "": "unlabelled"}
+
+
 def test_training(spark, tmp_path):
     r = np.random.default_rng(2)
     rows = [(k, int(k % 5 == 0), float(r.normal() + 2 * (k % 5 == 0)), float(r.normal())) for k in range(200)]
