@@ -70,8 +70,8 @@ def discard(*tables: DataFrame) -> None:
     for table in tables:
         drop_path(table.sparkSession, table.scratch_path)
     gc.collect()
-    if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+    if spark := SparkSession.getActiveSession():
+        spark.sparkContext._jvm.System.gc()
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -69,6 +69,12 @@ def word_hashes(text: str) -> np.ndarray:
     return np.concatenate(out)
 
 
+def word_bounds(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a UTF-8 text starts and ends."""
+    turns = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[np.frombuffer(b, np.uint8)], [True])).view(np.int8)))
+    return turns[0::2], turns[1::2]
+
+
 def shingle_stream(words: np.ndarray, size: int = WORDS) -> np.ndarray:
     """The hash of every run of ``size`` words, in order; of all words if there are fewer."""
     n = len(words)
