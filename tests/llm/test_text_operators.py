@@ -205,3 +205,13 @@ def test_secrets(spark):
     assert list(clean.columns) == docs.columns and len(clean) == len(rows)
     of = dict(zip(clean.doc_id, clean.text, strict=True))
     assert SECRET not in of[0] and of[0].startswith("[SECRET]") and of[2] == TEXTS[2] and of[6] is None
+
+
+def test_widely_copied_secrets(spark):
+    # One owner: a value of few repositories is its own, one of many repositories an example.
+    rows = [(k, f"password = {SECRET}", "one") for k in range(secrets.MANY_REPOS - 1)] * 2 + [(100 + k, "password = kX9vQ2mT7rL4wZ8p", "one") for k in range(secrets.MANY_REPOS)] + [(200, None, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secrets.secret_scan(docs).collect()
+    assert {(r["most_owners"], r["most_repos"], r["n_examples"], r["n_live"]) for r in got if r["doc_id"] < 100} == {(1, secrets.MANY_REPOS - 1, 0, 1)}
+    assert {(r["most_owners"], r["most_repos"], r["n_examples"], r["n_live"]) for r in got if 100 <= r["doc_id"] < 200} == {(1, secrets.MANY_REPOS, 1, 0)}
+    assert [(r["most_owners"], r["most_repos"]) for r in got if r["doc_id"] == 200] == [(0, 0)]
