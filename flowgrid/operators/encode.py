@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowgrid.functions.scalar import min_max
-from flowgrid.operators.ordering import ordered_index
+from flowgrid.operators.ordering import ordered_index, quantiles
 from flowgrid.schemas import MISSING_CODE, UNKNOWN_CODE
 
 #: Rows of a dictionary up to which it is broadcast; larger ones are joined by a shuffle.
@@ -57,13 +57,11 @@ def fit_category(df: DataFrame, column: str, fit_filter: Column) -> FittedCatego
 
 def fit_medians(df: DataFrame, columns: list[str], fit_filter: Column) -> DataFrame:
     """(feature, median, training_missing, all_missing): exact medians of the rows to fit on."""
-    aggs = []
-    for k, c in enumerate(columns):
-        q = F.col(f"`{c}`").cast("double")
-        aggs += [F.median(q).alias(f"m_{k}"), F.count_if(q.isNull()).alias(f"x_{k}")]
-    wide = df.filter(fit_filter).agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(f"m_{k}"), F.lit(0.0)).alias("median"), F.col(f"x_{k}").alias("training_missing"), F.col(f"m_{k}").isNull().alias("all_missing")) for k, c in enumerate(columns)])
-    return wide.select(F.explode(rows).alias("x")).select("x.*")
+    rows = df.filter(fit_filter).select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
+    missing = df.filter(fit_filter).agg(*[F.count_if(F.col(f"`{c}`").cast("double").isNull()).alias(f"x_{k}") for k, c in enumerate(columns)])
+    missing = missing.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"x_{k}").alias("training_missing")) for k, c in enumerate(columns)])).alias("x")).select("x.*")
+    medians = quantiles(rows, "feature", "v", (0.5,)).select("feature", F.col("q")[0].alias("median"))
+    return missing.join(medians, "feature", "left").select("feature", F.coalesce("median", F.lit(0.0)).alias("median"), "training_missing", F.col("median").isNull().alias("all_missing"))
 
 
 def impute(df: DataFrame, medians: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowgrid.functions.scalar import above, safe_divide
-from flowgrid.operators.ordering import running_sums
+from flowgrid.operators.ordering import quantiles, running_sums
 
 
 def confusion(df: DataFrame, target: str = "target", predicted: str = "predicted", by: list[str] | None = None) -> DataFrame:
@@ -97,8 +97,8 @@ def cross_entropy(df: DataFrame, probability: str, target: str = "target") -> Da
 
 def score_quantiles(df: DataFrame, score: str, target: str = "target", at: tuple[float, ...] = (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0)) -> DataFrame:
     """Exact, linearly interpolated quantiles of each class's scores, and how many differ."""
-    q = df.groupBy(target).agg(F.percentile(score, F.array(*[F.lit(a) for a in at])).alias("q"), F.count_distinct(score).alias("distinct_scores"))
-    return q.select(target, "distinct_scores", *[F.col("q")[k].alias(f"q{round(100 * a):03d}") for k, a in enumerate(at)])
+    q = quantiles(df, target, score, at)
+    return q.select(target, F.col("distinct_values").alias("distinct_scores"), *[F.col("q")[k].alias(f"q{round(100 * a):03d}") for k, a in enumerate(at)])
 
 
 def best_epoch(history: DataFrame) -> DataFrame:

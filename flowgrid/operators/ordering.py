@@ -60,10 +60,41 @@ def stratified_index(df: DataFrame, stratum: str, keys: list[Column | str], name
     return indexed.join(F.broadcast(starts) if starts.count() <= 10_000 else starts, stratum).withColumn(name, F.col("_global") - F.col("_start")).drop("_global", "_start")
 
 
+def quantiles(df: DataFrame, group: str, value: str, at: tuple[float, ...]) -> DataFrame:
+    """(group, distinct_values, q): exact, linearly interpolated quantiles of each group's values.
+
+    Values are counted first and their counts summed in order over ranges, so neither a group nor its
+    distinct values meet in one task. Groups are few: they are broadcast up to 10,000 rows.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n"))
+    summed = running_sums(counted, [group, value], {"_upto": "_n"})
+    sizes = summed.groupBy(group).agg(F.min(F.col("_upto") - F.col("_n")).alias("_start"), F.sum("_n").alias("_size"), F.count("*").alias("distinct_values"))
+    places = sizes.select(F.col(group).alias("_group"), "_start", "distinct_values", "_size", F.posexplode(F.array(*[F.lit(float(a)) for a in at])).alias("_k", "_a"))
+    places = places.withColumn("_pos", F.col("_a") * (F.col("_size") - 1)).withColumns({"_lo": F.floor("_pos"), "_hi": F.ceil("_pos")})
+    places = F.broadcast(places) if places.count() <= 10_000 else places
+    held = summed.join(places, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_start") + F.col("_hi") >= F.col("_upto") - F.col("_n")) & (F.col("_start") + F.col("_lo") < F.col("_upto")))
+    low, high = F.min(value), F.max(value)
+    found = F.when(F.max("_lo") == F.max("_hi"), low.cast("double")).otherwise((F.max("_hi") - F.max("_pos")) * low + (F.max("_pos") - F.max("_lo")) * high)
+    each = held.groupBy(group, "_k", "distinct_values").agg(found.alias("_q"))
+    return each.groupBy(group, "distinct_values").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_q"))), lambda x: x["_q"]).alias("q"))
+
+
 def order_report(df: DataFrame, key: str, order: list[Column | str], by: str | None = None) -> DataFrame:
-    """How often ``key`` steps back or stays equal from one row to the next, by source."""
-    w = Window.partitionBy(by).orderBy(*order) if by else Window.orderBy(*order)
-    return df.withColumn("_before", F.lag(key).over(w)).groupBy(*([by] if by else [])).agg(F.count_if(F.col(key) < F.col("_before")).alias("backward_steps"), F.count_if(F.col(key) == F.col("_before")).alias("equal_steps"))
+    """How often ``key`` steps back or stays equal from one row to the next, by source.
+
+    Rows are compared within sorted ranges; a range's first row meets the last one of the range
+    before, of which there is one row for each range.
+    """
+    source = F.col(by) if by else F.lit(0)
+    ranged = _ranged(df.withColumns({"_by": source, "_key": F.col(key)}), ["_by", *order])
+    last = ranged.groupBy("_part").agg(F.max_by(F.struct("_by", "_key"), "_at").alias("_last"))
+    last = last.withColumn("_last", F.struct(F.col("_last")["_by"].alias("_by"), F.col("_last")["_key"].alias("_key")))
+    earlier = last.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_edge"))  # one row a range
+    w = Window.partitionBy("_part").orderBy("_at")
+    met = ranged.join(F.broadcast(earlier), "_part").withColumn("_before", F.coalesce(F.lag(F.struct("_by", "_key")).over(w), F.col("_edge")))
+    same = F.col("_before").isNotNull() & F.col("_before")["_by"].eqNullSafe(F.col("_by"))
+    counts = [F.count_if(same & (F.col("_key") < F.col("_before")["_key"])).alias("backward_steps"), F.count_if(same & (F.col("_key") == F.col("_before")["_key"])).alias("equal_steps")]
+    return met.groupBy(*([by] if by else [])).agg(*counts)
 
 
 def equal_pairs(df: DataFrame, key: str) -> DataFrame:
