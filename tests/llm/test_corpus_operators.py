@@ -112,6 +112,8 @@ def test_near_duplicates(spark, documents):
     kept = near_dedup.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and {x["doc_id"] for x in kept.collect()} == {k for k, c in got.items() if k == c}
     assert near_dedup.near_duplicates(docs.filter("false")).count() == 0
+    clash = spark.createDataFrame([(k, table[5000], 1, 2, "x") for k in (3, 1)], "doc_id long, text string, _gone int, class_id int, row string")
+    assert [tuple(x)[0] for x in near_dedup.drop_near_duplicates(clash).collect()] == [1]
 
 
 def test_signatures_estimate_similarity():
@@ -216,6 +218,30 @@ def test_passages_of_middle_documents(spark):
     assert not {k for k in table if k // 1000 not in (12, 15)} & set(of)
 
 
+def test_recall_of_edited_passages(spark):
+    r = random.Random(21)
+    table, planted = {}, []
+    for k in range(200):
+        words_, edits = (60, 1) if k % 2 else (100, 2)
+        p = prose(r, words_).split()
+        q = p[:]
+        for e in range(edits):
+            q[(e + 1) * words_ // (edits + 1)] = "edited%d" % e
+        table |= {2 * k: f"{prose(r, 40)} {' '.join(p)} {prose(r, 40)}", 2 * k + 1: f"{prose(r, 70)} {' '.join(q)} {prose(r, 20)}"}
+        planted.append((2 * k, 2 * k + 1))
+    twice = prose(r, 60)
+    table |= {1000: f"{prose(r, 30)} {twice} {prose(r, 200)} {twice} {prose(r, 20)}", 1001: f"{twice} {prose(r, 50)}", 1002: f"{prose(r, 90)} {twice}"}
+    table |= {2000 + k: prose(r, 150) for k in range(50)}
+    docs = spark.createDataFrame(list(table.items()), "doc_id long, text string").repartition(4)
+    got = substring_dedup.repeated_passages(docs).collect()
+    of = {x["doc_id"]: x["class_id"] for x in got}
+    caught = sum(a in of and of.get(a) == of.get(b) for a, b in planted) / len(planted)
+    assert caught >= 0.9, caught
+    assert not [k for k in of if k >= 2000] and len({of[k] for k in (1000, 1001, 1002)}) == 1
+    assert {x["start_word"] for x in got if x["doc_id"] == 1000} == {30, 290}
+    print("recall", caught)
+
+
 def brute_passage(a, b, least, threshold=0.8):
     """Whether runs from shared to shared shingle of at least ``least`` are that similar."""
     ends = lambda x, y: [(i, j) for i in range(len(x)) for j in range(i + least, len(x) + 1) if x[i] in y and x[j - 1] in y]
@@ -389,3 +415,24 @@ def test_digest_of_kept_lines(spark):
     table = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want, _ = brute_lines(table)
     assert all(got[k]["kept_sha256"] == hashlib.sha256("\n".join(v).encode()).hexdigest() for k, v in want.items())
+
+
+def test_only_with(spark):
+    from flowgrid.llm.common import only_with
+
+    df = spark.range(5000).selectExpr("if(id = 7, null, id) as doc_id", "id as _slot_of")
+    kept = only_with(df, "doc_id", df.filter("doc_id % 11 = 0 and doc_id > 0"))
+    assert kept.columns == df.columns and kept.filter("doc_id % 11 = 0 and doc_id > 0").count() == 454
+    assert kept.count() < 600 and only_with(df, "doc_id", df.filter("false")).count() == 0
+
+
+def test_sketches_estimate_similarity():
+    r = np.random.default_rng(3)
+    h = shingles.mix(np.arange(1, 2000, dtype=np.uint64))
+    differ = []
+    for _ in range(40):
+        x = r.permutation(h)[:400]
+        a, b = np.sort(x[:360]), np.sort(np.concatenate((x[:320], x[360:])))  # 320 of 400 in common
+        one = np.ones(360, np.int64)
+        differ.append(int(np.bitwise_count((near_dedup.sketch(a, one) ^ near_dedup.sketch(b, one)).view(np.uint64)).sum()))
+    assert max(differ) <= near_dedup.most_differing(0.8) and abs(np.mean(differ) - 0.1 * near_dedup.SKETCH) < 10
