@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from flowgrid.llm.bpe import encode_digests
 from flowgrid.llm.common import read_table
 from flowgrid.llm.html_extract import extract_text
+from flowgrid.llm.importance import importance_resample
 from flowgrid.llm.kneser_ney import quality_classifier
+from flowgrid.llm.lexical import ranked_search
 from flowgrid.llm.line_dedup import line_dedup
 from flowgrid.llm.near_dedup import near_duplicates
 from flowgrid.llm.packing import pack_documents
@@ -66,6 +68,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 _STOPS = ", ".join(f"'{w}'" for w in sorted({x for words in STOP_WORDS.values() for w in words.split() for x in (w, w.capitalize())}))
 _LANGS = ", ".join(f"'{x}'" for x in STOP_WORDS)
 
@@ -142,6 +152,70 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+_FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP12_SQL = f"""
+WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, {_FOLD}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, {_FOLD}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark
+), lengths AS (
+  SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id
+), total AS (
+  SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM lengths
+), norms AS (
+  SELECT doc_id, 100 - 50 + (50 * n * n_docs) // n_terms AS m FROM lengths, total
+), tfs AS (
+  SELECT doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tfs GROUP BY term), total
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM q JOIN weights USING (term) JOIN tfs USING (term) JOIN norms USING (doc_id) GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+OP13_SQL = f"""
+WITH table_of AS (
+  -- The CRC of each byte by its polynomial, then of each n-gram byte by byte.
+  SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS crcs FROM (SELECT unnest(range(256)) AS b)
+), texts AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 't', item_id, text FROM benchmark
+), split AS (
+  SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), {_FOLD}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM texts
+), words AS (
+  SELECT side, id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM split
+), runs AS (
+  SELECT side, id, w AS one, w || ' ' || lead(w) OVER o AS two, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o AS three FROM words WINDOW o AS (PARTITION BY side, id ORDER BY i)
+), grams AS (
+  SELECT side, id, gram, count(*) AS n FROM (SELECT side, id, unnest([one, two, three]) AS gram FROM runs) WHERE gram IS NOT NULL GROUP BY side, id, gram
+), codes AS (
+  SELECT gram, list_transform(range(1, 2 * octet_length(encode(gram)), 2), lambda k: CAST(('0x' || substr(hex(encode(gram)), k, 2)) AS BIGINT)) AS bytes FROM (SELECT DISTINCT gram FROM grams)
+), hashed AS (
+  SELECT gram, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c // 256, crcs[xor(c % 256, b) + 1])), 4294967295) % 10000 AS bucket FROM codes, table_of
+), features AS (
+  SELECT side, id, bucket, CAST(sum(n) AS BIGINT) AS n FROM grams JOIN hashed USING (gram) GROUP BY side, id, bucket
+), totals AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 't'), 0) AS t FROM features GROUP BY bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(t + 1 AS DOUBLE) * CAST(ss + 10000 AS DOUBLE)) / (CAST(s + 1 AS DOUBLE) * CAST(tt + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+  FROM totals, (SELECT sum(s) AS ss, sum(t) AS tt FROM totals)
+), weights AS (
+  SELECT id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM features JOIN gains USING (bucket) WHERE side = 'd' GROUP BY id
+), scored AS (
+  SELECT id AS doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(('0x' || substr(sha256('42:' || id), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM split LEFT JOIN weights USING (id) WHERE side = 'd'
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
 
 def queries() -> dict[str, Query]:
     return {
@@ -155,6 +229,8 @@ def queries() -> dict[str, Query]:
         "op8_top_k": op8_top_k,
         "op9_near_dedup": op9_near_dedup,
         "op10_bpe": op10_bpe,
+        "op12_treap_search": op12_treap_search,
+        "op13_importance": op13_importance,
     }
 
 
@@ -163,4 +239,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_quality_rules": OP3_SQL,
         "op6_line_dedup": OP6_SQL,
         "op8_top_k": OP8_SQL,
+        "op12_treap_search": OP12_SQL,
+        "op13_importance": OP13_SQL,
     }

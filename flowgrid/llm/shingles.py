@@ -37,34 +37,39 @@ class _Powers:
             cls.down = np.concatenate([cls.down, cls.down * np.uint64(pow(_P_INVERSE, k, 1 << 64))])
 
 
-def _hash_words(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_words(b: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and end of each word; hashes don't depend on where a word stands."""
     n = len(b)
     _Powers.grow(n + 1)
-    turns = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[b], [True])).view(np.int8)))
+    turns = np.flatnonzero(np.diff(np.concatenate(([True], gap[b], [True])).view(np.int8)))
     starts, ends = turns[0::2], turns[1::2]
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[b] * _Powers.down[:n])))
     return mix((sums[ends] - sums[starts]) * _Powers.up[starts]), ends
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash for each word ``[^\\x20\\x09-\\x0D]+`` of the whole text, in order."""
+def word_hashes(text: str, gap: np.ndarray = _SPACE, fold: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash for each word ``[^\\x20\\x09-\\x0D]+`` of the whole text, in order.
+
+    ``gap`` says of other bytes that they separate words; ``fold`` replaces each byte first.
+    """
     b = np.frombuffer(text.encode(), np.uint8)
+    if fold is not None:
+        b = fold[b]
     if len(b) <= _CHUNK:
-        return _hash_words(b)[0]
+        return _hash_words(b, gap)[0]
     out, at = [], 0
     while at < len(b):
         part = b[at : at + _CHUNK]
         if at + len(part) < len(b):
-            cut = np.flatnonzero(_SPACE[part])
+            cut = np.flatnonzero(gap[part])
             size = _CHUNK
             while not len(cut) and at + size < len(b):  # a word longer than the chunk
                 size *= 2
                 part = b[at : at + size]
-                cut = np.flatnonzero(_SPACE[part])
+                cut = np.flatnonzero(gap[part])
             if at + len(part) < len(b):
                 part = part[: cut[-1] + 1]
-        out.append(_hash_words(part)[0])
+        out.append(_hash_words(part, gap)[0])
         at += len(part)
     return np.concatenate(out)
 
