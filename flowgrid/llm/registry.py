@@ -13,6 +13,7 @@ from flowgrid.llm.common import read_table
 from flowgrid.llm.html_extract import extract_text
 from flowgrid.llm.importance import importance_resample
 from flowgrid.llm.kneser_ney import quality_classifier
+from flowgrid.llm.language_id import language_id
 from flowgrid.llm.lexical import ranked_search
 from flowgrid.llm.line_dedup import line_dedup
 from flowgrid.llm.near_dedup import near_duplicates
@@ -68,6 +69,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read_table(spark, sf_dir, "documents"))
+
+
 def op12_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -229,6 +234,7 @@ def queries() -> dict[str, Query]:
         "op8_top_k": op8_top_k,
         "op9_near_dedup": op9_near_dedup,
         "op10_bpe": op10_bpe,
+        "op11_language_id": op11_language_id,
         "op12_treap_search": op12_treap_search,
         "op13_importance": op13_importance,
     }

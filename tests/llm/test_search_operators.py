@@ -12,7 +12,7 @@ import pytest
 from conftest import SF
 from oracle import duck, same
 
-from flowgrid.llm import importance, lexical, registry
+from flowgrid.llm import importance, language_id, lexical, registry
 
 FOLD = {c: c + 32 for c in range(65, 91)}
 
@@ -179,3 +179,86 @@ def test_pieces_keep_all_runs_of_words():
         whole = importance._merged(importance._count(parts, 997), 997).to_pylist()[0]
         n, c = brute_features(text, 997)
         assert (whole["n_words"], whole["n_features"], dict(zip(whole["buckets"], whole["counts"], strict=True))) == (n, sum(c.values()), dict(c))
+
+
+def brute_grams(text, size=4):
+    letters = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    if not letters.strip():
+        return []
+    t = (" " + " ".join(letters.split()) + " ").ljust(size)
+    return [t[i : i + size] for i in range(len(t) - size + 1)]
+
+
+def hashed(grams):
+    return language_id._hashed(np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32), len(grams[0]))[:: len(grams[0])] if grams else np.zeros(0, np.uint64)
+
+
+def test_grams_of_whole_texts():
+    r = random.Random(2)
+    texts = ["", "...", "a", "Ab", "ab, cd--É", " x ", "语言模型", "a\x00b", *["".join(r.choices("abÉ .,\n7", k=r.randint(1, 60))) for _ in range(300)]]
+    for t in texts:
+        want = hashed(brute_grams(t))
+        for chunk in (1 << 20, 1, 5):
+            parts = list(language_id.gram_hashes(t, chunk=chunk))
+            assert np.array_equal(np.concatenate(parts) if parts else np.zeros(0, np.uint64), want), (t, chunk)
+
+
+def syllables(r, known, n):
+    return " ".join("".join(r.choices(known, k=r.randint(1, 4))) for _ in range(n))
+
+
+LANGUAGES = {"aa": ["th", "er", "on", "an", "in", "ou"], "bb": ["sch", "ung", "en", "er", "ie"], "cc": ["ción", "os", "que", "ar", "en"], "dd": ["eau", "oi", "é", "le", "on"]}
+
+
+def test_filter_holds_what_is_frequent(spark):
+    r = random.Random(7)
+    rows = [(k, syllables(r, LANGUAGES[lang], 60), lang) for k, lang in enumerate([*LANGUAGES] * 40)]
+    rows += [(5000 + k, syllables(r, LANGUAGES["aa"], 60), "bb") for k in range(2)]  # under a wrong label
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    counts = {x: Counter(g for _, t, lang in rows if lang == x for g in brute_grams(t)) for x in LANGUAGES}
+    rate = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in counts.items()}
+    want = {x: {g for g, v in c.items() if v >= 1e-3 and v >= 0.1 * max(o.get(g, 0) for o in rate.values())} for x, c in rate.items()}
+    every = sorted(set().union(*counts.values()))
+    for bits in (16, 9):
+        learned = language_id.fit_languages(docs, slot_bits=bits, least_rate=1e-3)
+        assert learned.languages == sorted(LANGUAGES, key=lambda x: (-sum(counts[x].values()), x))
+        table = learned.dense()
+        found = learned.containing(table, hashed(every))
+        wrong = learned.false_positives(table)
+        for k, x in enumerate(learned.languages):
+            has = {g for g, b in zip(every, language_id._bit(found, k), strict=True) if b}
+            assert want[x] <= has  # none is lost
+            lacks = len(set(every) - want[x])
+            assert abs(len(has - want[x]) - lacks * wrong[k]) <= 6 * (lacks * wrong[k]) ** 0.5 + 3  # as many too much as the fill says
+    # A crowded filter's counts are set right.
+    n = np.array([1000])
+    true, wrong = np.array([[600, 500]]), np.array([0.1, 0.6])
+    seen = true + (n - true) * wrong
+    assert seen[0].argmax() == 1 and language_id.decide(seen, n, wrong)[0][0] == 0
+
+
+def test_languages_of_documents(spark):
+    r = random.Random(8)
+    rows = [(k, syllables(r, LANGUAGES[lang], r.choice([4, 30, 200])), lang) for k, lang in enumerate(["aa"] * 300 + ["bb", "cc", "dd"] * 60)]
+    odd = [(9000, None, "aa"), (9001, "", "bb"), (9002, "12 -- 3", "cc"), (9003, "语言", "dd"), (None, syllables(r, LANGUAGES["cc"], 30), None), (9004, syllables(r, LANGUAGES["dd"], 30), None), (9004, "z" * 5000, "aa")]
+    docs = spark.createDataFrame([(*x, "bb", 3, 0.5) for x in rows + odd], "doc_id long, text string, lang string, lang_pred string, n int, score double").repartition(4)
+    got = [tuple(x) for x in language_id.language_id(docs).collect()]
+    assert len(got) == len(rows) + len(odd)
+    of = {x[0]: x for x in got if x[0] != 9004}
+    for k, _, lang in rows:
+        held = zlib.crc32(str(k).encode()) % 4 == 2
+        assert of[k][1:3] == (held, lang) and 0 < of[k][3] <= 1
+    assert all(of[k][2:] == ("und", 0.0) for k in (9000, 9001, 9002))
+    assert of[9003][2:] == ("aa", 0.0) or of[9003][3] > 0  # known from its one document, if that isn't held out
+    assert of[None][1:3] == (False, "cc") and "dd" in [x[2] for x in got if x[0] == 9004]
+    assert language_id.language_id(docs.filter("false")).count() == 0
+    untaught = language_id.language_id(docs.withColumn("lang", docs.lang.substr(9, 1)).filter("lang = 'x' or doc_id = 5"))
+    assert {x["lang_pred"] for x in untaught.collect()} <= {"und", ""}
+
+
+def test_held_out_accuracy(spark):
+    found = registry.queries()["op11_language_id"](spark, SF).collect()
+    table = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert len(found) == len(table)
+    tested = [(r["lang_pred"], table[r["doc_id"]]["lang"]) for r in found if r["held_out"] and re.search(r"[^\W\d_]", table[r["doc_id"]]["text"] or "")]
+    assert len(tested) > 20 and sum(a == b for a, b in tested) >= 0.99 * len(tested)
