@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import csv
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgrid.schemas import LABEL_FIELDS, RAW_FIELDS, RENAMED, all_strings
+from flowgrid.schemas import LABEL_FIELDS, RAW_FIELDS, RENAMED
+from flowgrid.sources.records import checked_cells, first_record, read_records
 
 
 def discover(spark: SparkSession, folder: str, recursive: bool = False) -> list[str]:
@@ -17,25 +17,9 @@ def discover(spark: SparkSession, folder: str, recursive: bool = False) -> list[
     return sorted(r["path"] for r in files.select("path").collect())
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line): every line with its number from 0, blank ones too.
-
-    Lines of a block stand in its order and blocks are placed by their offset in the file, so one
-    count for each block gives dense numbers without a sort of all lines.
-    """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
-    here = Window.partitionBy("file", "_block").orderBy("_id")
-    counts = lines.groupBy("file", "_block").agg(F.count("*").alias("_n"))
-    before = counts.select("file", "_block", F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return lines.withColumn("_at", F.row_number().over(here) - 1).join(before, ["file", "_block"]).select("file", (F.col("_before") + F.col("_at")).alias("line_no"), "line")
-
-
 def header_cells(spark: SparkSession, path: str) -> list[str]:
     """The header's cells, without a byte-order mark."""
-    first = spark.read.text(path).first()
-    if first is None:
-        raise ValueError(f"{path} is empty")
-    return next(csv.reader([first["value"].lstrip("\ufeff")], strict=True))
+    return first_record(spark, path)
 
 
 def parse_header(cells: list[str], expected: list[str] | None = None) -> list[list[str]]:
@@ -57,10 +41,10 @@ def parse_header(cells: list[str], expected: list[str] | None = None) -> list[li
     return groups
 
 
-def _projection(groups: list[list[str]], cell: str) -> list[Column]:
+def _projection(groups: list[list[str]], cells: Column) -> list[Column]:
     out = []
     for k, g in enumerate(groups):
-        c = F.coalesce(F.col(f"{cell}.c{k}"), F.lit(""))
+        c = cells[k]
         if len(g) == 1:
             out.append(c.alias(g[0]))
             continue
@@ -70,24 +54,26 @@ def _projection(groups: list[list[str]], cell: str) -> list[Column]:
     return out
 
 
-def read_flows(spark: SparkSession, path: str, expected: list[str] | None = None) -> DataFrame:
+def _read(spark: SparkSession, path: str, expected: list[str] | None, blank_count: bool, wanted: Column) -> DataFrame:
+    groups = parse_header(header_cells(spark, path), expected)
+    records = read_records(spark, path).filter(wanted).withColumn("_cells", checked_cells(F.col("cells"), len(groups)))
+    number = F.col("record" if blank_count else "row").alias("source_row")
+    return records.select(*_projection(groups, F.col("_cells")), F.element_at(F.split("file", "/"), -1).alias("source_file"), number)
+
+
+def read_flows(spark: SparkSession, path: str, expected: list[str] | None = None, blank_count: bool = True) -> DataFrame:
     """Records of one file, every value as it stands, with source_file and source_row.
 
-    source_row counts records from 1 and blank lines with them; blank lines give no rows. A record
-    with too few or too many cells, or a bad quote, fails.
+    source_row counts records from 1, blank ones with them unless ``blank_count`` is off; blank
+    records give no rows. A record with too few or too many cells, or a bad quote, fails.
     """
-    groups = parse_header(header_cells(spark, path), expected)
-    schema = all_strings([f"c{k}" for k in range(len(groups))])
-    lines = numbered_lines(spark, path).filter((F.col("line_no") > 0) & (F.trim("line") != ""))
-    parsed = lines.withColumn("_r", F.from_csv("line", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"mode": "FAILFAST", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}))
-    cells = F.size(F.split("line", ","))
-    checked = parsed.filter(F.when((cells != len(groups)) & ~F.contains(F.col("line"), F.lit('"')), F.raise_error(F.concat(F.lit("a record has another number of cells: "), F.col("line"))).cast("boolean")).otherwise(True))
-    return checked.select(*_projection(groups, "_r"), F.element_at(F.split("file", "/"), -1).alias("source_file"), F.col("line_no").alias("source_row"))
+    return _read(spark, path, expected, blank_count, F.col("record") > 0)
 
 
-def read_prefix(spark: SparkSession, path: str, rows: int, expected: list[str] | None = None) -> DataFrame:
-    """The first ``rows`` records by position; blank lines don't count as records here."""
-    return read_flows(spark, path, expected).orderBy("source_row").limit(rows)
+def read_prefix(spark: SparkSession, path: str, rows: int, expected: list[str] | None = None, blank_count: bool = True) -> DataFrame:
+    """The first ``rows`` records by position; blank records don't count for that. Records know their
+    position, so nothing is sorted."""
+    return _read(spark, path, expected, blank_count, (F.col("record") > 0) & (F.col("row") <= rows))
 
 
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -115,10 +101,6 @@ def headers(spark: SparkSession, folder: str) -> DataFrame:
     return first.select("file", F.split(F.regexp_replace("header", "^\\uFEFF|\\r$", ""), ",").alias("columns"))
 
 
-def blank_lines(spark: SparkSession, path: str) -> DataFrame:
-    return numbered_lines(spark, path).filter(F.trim("line") == "").groupBy("file").agg(F.count("*").alias("blank_rows"))
-
-
 def unchanged(spark: SparkSession, path: str) -> tuple:
     """Sizes and times of the files at a path: equal before and after a run over the same data."""
     rows = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime").collect()

@@ -1,11 +1,13 @@
+import csv
 import gzip
 import json
+import random
 
 import pytest
 
 from flowgrid import schemas
 from flowgrid.operators import prepare
-from flowgrid.sources import flows, sinks
+from flowgrid.sources import flows, records, sinks
 from flowgrid.streaming import profile as streaming
 
 HEADER = schemas.RAW_FIELDS[:-1]
@@ -30,10 +32,10 @@ def test_merged_header_and_blank_rows(spark, tmp_path):
     got = flows.read_flows(spark, path).orderBy("source_row").collect()
     assert [(r["source_row"], r["label"], r["detailed-label"]) for r in got] == [(1, "Benign", "-"), (3, "Malicious", "C&C")]
     assert got[0]["source_file"] == "m.csv"
-    assert flows.blank_lines(spark, path).first()["blank_rows"] == 1
+    assert records.record_counts(spark, path).first()["blank_rows"] == 1
     prepared = prepare.prepare_flows(flows.read_flows(spark, path)).toPandas()
     assert prepared.target.tolist() == [0, 1] and len([c for c in prepared if c in schemas.FEATURES]) == 17
-    assert [r["source_row"] for r in flows.read_prefix(spark, path, 2).collect()] == [1, 3]  # blank lines don't count
+    assert sorted(r["source_row"] for r in flows.read_prefix(spark, path, 2).collect()) == [1, 3]  # blank lines don't count
     typed = prepare.type_features(prepare.prepare_flows(flows.read_flows(spark, path))).toPandas()
     assert typed.ts.tolist() == [1.5, 2.5]
 
@@ -68,6 +70,68 @@ def test_bad_records(spark, tmp_path):
         prepare.check_times(flows.read_flows(spark, path)).collect()
 
 
+def csv_file(r, path, n, bom):
+    """A file of n records, some blank, some cells quoted, with line breaks, quotes and delimiters."""
+    parts, quoted = ["a,\"b\nc\",d"], ["plain", "", "x y", " lead", "tab\t", "'", "end\\"]
+    for _ in range(n):
+        cells = []
+        for _ in range(3):
+            if r.random() < 0.3:
+                cells.append('"' + "".join(r.choice(["a", ",", "\n", '""', " ", "\r\n", "\n\n", "\\", "é"]) for _ in range(r.randint(0, 6))) + '"')
+            else:
+                cells.append(r.choice(quoted) + str(r.randint(0, 9)) + r.choice(["", "", 'in"side"']))
+        parts.append("" if r.random() < 0.1 else ",".join(cells))
+    text = "".join(p + r.choice(["\n", "\r\n"]) for p in parts)
+    path.write_bytes((("\ufeff" if bom else "") + (text if r.random() < 0.5 else text.rstrip("\r\n") + "\nlast,1,2")).encode())
+
+
+def test_records_equal_the_csv_module(spark, tmp_path):
+    r = random.Random(11)
+    (tmp_path / "in").mkdir()
+    want, blanks = {}, {}
+    for k in range(6):
+        path = tmp_path / f"in/f{k}.csv"
+        csv_file(r, path, 60, k % 2)
+        with path.open(encoding="utf-8-sig", newline="") as f:
+            every = list(csv.reader(f, strict=True))
+        rows = [(n, c) for n, c in enumerate(every) if c]
+        want[path.name] = [(n, m, c) for m, (n, c) in enumerate(rows)]
+        blanks[path.name] = (len(rows) - 1, len(every) - len(rows))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("128m", "97", "500"):  # blocks that end inside quotes, within line breaks and characters
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1" if size != "128m" else was[1])
+            got = {}
+            for x in records.read_records(spark, str(tmp_path / "in")).collect():
+                got.setdefault(x["file"].rsplit("/", 1)[1], []).append((x["record"], x["row"], x["cells"]))
+            assert {k: sorted(v) for k, v in got.items()} == want
+            counted = {x["file"].rsplit("/", 1)[1]: (x["data_rows"], x["blank_rows"]) for x in records.record_counts(spark, str(tmp_path / "in")).collect()}
+            assert counted == blanks
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", was[1])
+    assert records.first_record(spark, str(tmp_path / "in/f1.csv")) == ["a", "b\nc", "d"]
+
+
+@pytest.mark.parametrize(("text", "message"), [("a,b\n1,\"x\n2,3\n", "isn't closed"), ("a,b\nx\"y,1\n2,z\"3\n", "inside a cell"), ("a,b\n\"x\"y,1\n", "malformed"), ("a,b\n1,2\r3,4\n", "carriage return")])
+def test_bad_quotes_fail(spark, tmp_path, text, message):
+    (tmp_path / "x.csv").write_bytes(text.encode())
+    with pytest.raises(Exception, match=message):
+        records.read_records(spark, str(tmp_path / "x.csv")).collect()
+
+
+def test_flows_with_line_breaks(spark, tmp_path):
+    cells, label = record()
+    broken = [*cells[:1], '"u\n""1"', *cells[2:]]
+    path = merged(tmp_path, [record(), (broken, label), ([], ""), record("3.5", "Malicious", "C&C")])
+    got = flows.read_flows(spark, path).orderBy("source_row").collect()
+    assert [(x["source_row"], x["uid"]) for x in got] == [(1, "u1"), (2, 'u\n"1'), (4, "u1")]
+    pilot = flows.read_flows(spark, path, blank_count=False).orderBy("source_row").collect()
+    assert [x["source_row"] for x in pilot] == [1, 2, 3]
+    assert sorted(x["source_row"] for x in flows.read_prefix(spark, path, 3).collect()) == [1, 2, 4]
+
+
 def test_discovery(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     for name in ("b.CSV", "a.csv", "c.txt", "sub/d.csv"):
