@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowgrid.sources.lease import acquire
+from flowgrid.sources.proof import Observed, Proof, require_preserved
+
 
 def configuration_hash(configuration: dict) -> str:
     return hashlib.sha256(json.dumps(configuration, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
@@ -39,21 +43,53 @@ def read_manifest(spark: SparkSession, folder: str) -> dict:
     return json.loads(spark.read.text(f"{folder.rstrip('/')}/manifest.json", wholetext=True).first()["value"])
 
 
-def write_stage(df: DataFrame, folder: str, configuration: dict, partition_by: list[str] | None = None) -> dict:
-    """A stage's rows as Parquet and its manifest with configuration and row count. A folder that
-    is there already fails, unless it is complete and has the same configuration: then it is kept."""
-    spark = df.sparkSession
+def write_stage(df: DataFrame, folder: str, configuration: dict, partition_by: list[str] | None = None, proof: Proof | None = None, before: dict | None = None, more: Callable[[dict], dict] | None = None) -> dict:
+    """A stage's rows as Parquet and its manifest with configuration, row count and proof.
+
+    A folder that is complete and has the same configuration is kept as it is; one that another
+    writer holds, or that has another configuration, fails before anything is written. Rows get their
+    place only after the proof holds: what ``proof`` says must be zero is, and what it shares with
+    ``before``, the proof of the stage's input, is equal. ``more`` adds fields to the manifest from
+    the observed values and may fail too. What a writer has left that died in between goes.
+    """
+    spark, folder = df.sparkSession, folder.rstrip("/")
     own = configuration_hash(configuration)
-    if exists(spark, f"{folder.rstrip('/')}/manifest.json"):
-        found = read_manifest(spark, folder)
-        if found["configuration_hash"] != own:
-            raise FileExistsError(f"{folder} was written with another configuration")
-        return found
-    writer = df.write.mode("errorifexists")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{folder.rstrip('/')}/data")
-    manifest = {"configuration": configuration, "configuration_hash": own, "rows": spark.read.parquet(f"{folder.rstrip('/')}/data").count(), "columns": df.columns, "spark": spark.version}
-    write_manifest(spark, folder, manifest)
-    return manifest
+    if exists(spark, f"{folder}/manifest.json"):
+        return _kept(spark, folder, own)
+    with acquire(spark, folder) as lease:
+        if exists(spark, f"{folder}/manifest.json"):  # by the writer that has just ended
+            return _kept(spark, folder, own)
+        if exists(spark, f"{folder}/data"):
+            if lease.number == 1:
+                raise FileExistsError(f"{folder}/data isn't a stage's")
+            _delete(spark, f"{folder}/data")
+        part = f"{folder}/_partial-{lease.number}"
+        _delete(spark, part)
+        observed = Observed(df, proof or Proof())
+        writer = observed.frame.write.mode("errorifexists")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(part)
+        values = observed.values()
+        if before:
+            require_preserved(before, values)
+        manifest = {"configuration": configuration, "configuration_hash": own, "rows": values["rows"], "columns": df.columns, "proof": values, "spark": spark.version, **(more(values) if more else {})}
+        lease.check()
+        source, fs = _path(spark, part)
+        if not fs.rename(source, _path(spark, f"{folder}/data")[0]):
+            raise OSError(f"{part} can't be renamed")
+        write_manifest(spark, folder, manifest)
+        return manifest
+
+
+def _kept(spark: SparkSession, folder: str, own: str) -> dict:
+    found = read_manifest(spark, folder)
+    if found["configuration_hash"] != own:
+        raise FileExistsError(f"{folder} was written with another configuration")
+    return found
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
 
 
 def write_report(df: DataFrame, path: str) -> None:
