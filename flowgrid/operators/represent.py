@@ -9,10 +9,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowgrid.functions.scalar import band, rounded
+from flowgrid.functions.scalar import band
 
 BANDS = 21
 SIDE = 224
@@ -23,9 +23,45 @@ def band_hash(entries: list[str], bands: int = BANDS) -> Column:
     return F.sha2(F.concat_ws(",", *[band(F.round(F.col(e), 9), bands).cast("string") for e in entries]), 256)
 
 
-def matrix_hash(entries: list[str], digits: int = 6) -> Column:
-    """SHA-256 of the rounded entries; both zeros are one."""
-    return F.sha2(F.concat_ws(",", *[F.format_number(rounded(e, digits), digits) for e in entries]), 256)
+def matrix_hash(corr: Column | str, digits: int | None = None) -> Column:
+    """SHA-256 of a matrix's entries (an array), in their order; both zeros are one. Entries are exact,
+    or rounded to ``digits``."""
+    corr = F.col(corr) if isinstance(corr, str) else corr
+    exact = lambda x: (x + F.lit(0.0).cast("float")).cast("string")
+    near = lambda x: F.round(x.cast("double") * 10**digits).cast("long").cast("string")
+    return F.sha2(F.array_join(F.transform(corr, exact if digits is None else near), ",", "null"), 256)
+
+
+def without_feature(corr: Column | str, n: int, feature: int) -> Column:
+    """A square matrix, row by row, with one feature's row and column zero."""
+    corr = F.col(corr) if isinstance(corr, str) else corr
+    return F.transform(corr, lambda x, k: F.when((F.floor(k / n) == feature) | (k % n == feature), F.lit(0.0).cast("float")).otherwise(x))
+
+
+def representation_audit(matrices: DataFrame, n: int, feature: int | None = None, corr: str = "corr", split: str = "split", digits: int | None = None) -> DataFrame:
+    """(view, split, windows, distinct_hashes, distinct_ratio, largest_group, matches_train,
+    diagonal_one, diagonal_zero): how often matrices repeat within train and validation, and how many
+    windows of a part have a matrix that train has.
+
+    View ``full`` has the matrices as they are; with ``feature``, view ``neutral`` has its row and
+    column zero, and the diagonal counts are of its own entry. Multisets are compared by the counts of
+    their hashes; test windows aren't read.
+    """
+    given = matrices.filter(F.col(split).isin("train", "validation"))
+    views = [("full", F.col(corr))] + ([] if feature is None else [("neutral", without_feature(corr, n, feature))])
+    own = F.lit(None).cast("float") if feature is None else F.get(F.col(corr), F.lit(feature * (n + 1)))
+    each = given.select(F.col(split).alias("split"), own.alias("own"), F.explode(F.array(*[F.struct(F.lit(name).alias("view"), matrix_hash(c, digits).alias("hash")) for name, c in views])).alias("v")).select("split", "own", "v.*")
+    groups = each.groupBy("view", "hash", "split").agg(F.count("*").alias("n"), F.count_if(F.col("own") == 1).alias("one"), F.count_if(F.col("own") == 0).alias("zero"))
+    train = F.sum(F.when(F.col("split") == "train", F.col("n"))).over(Window.partitionBy("view", "hash"))  # two rows a group
+    return groups.withColumn("_train", F.coalesce(train, F.lit(0))).groupBy("view", "split").agg(
+        F.sum("n").alias("windows"),
+        F.count("*").alias("distinct_hashes"),
+        (F.count("*") / F.sum("n")).alias("distinct_ratio"),
+        F.max("n").alias("largest_group"),
+        F.sum(F.when(F.col("_train") > 0, F.col("n")).otherwise(0)).alias("matches_train"),
+        F.sum("one").alias("diagonal_one"),
+        F.sum("zero").alias("diagonal_zero"),
+    )
 
 
 def hash_repetition(items: DataFrame, by: str = "hash", split: str = "split") -> DataFrame:

@@ -1,127 +1,13 @@
-"""Feature selection: a random forest and exact, path-dependent Tree SHAP of its probabilities."""
+"""Feature selection: mean absolute Tree SHAP contributions of a balanced forest, ranked."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def fit_forest(rows: DataFrame, features: list[str], target: str = "target", trees: int = 100, depth: int = 12, min_leaf: int = 2, rows_per_tree: int = 200_000, seed: int = 42) -> RandomForestClassificationModel:
-    """Balanced weights N / (2 N_c), square-root feature subsets, bounded draws for each tree."""
-    counts = {r[target]: r["n"] for r in rows.groupBy(target).agg(F.count("*").alias("n")).collect()}
-    n = sum(counts.values())
-    weight = F.create_map(*[F.lit(v) for t, c in counts.items() for v in (t, n / (2.0 * c))])
-    ready = VectorAssembler(inputCols=features, outputCol="_features").transform(rows.select(target, *[F.col(f"`{f}`").cast("double").alias(f) for f in features])).withColumn("_weight", weight[F.col(target)])
-    return RandomForestClassifier(labelCol=target, featuresCol="_features", weightCol="_weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", subsamplingRate=min(1.0, rows_per_tree / n), seed=seed).fit(ready)
-
-
-class Tree:
-    """One tree as arrays: children (-1 at leaves), split feature and threshold, cover, value."""
-
-    def __init__(self, left: list[int], right: list[int], feature: list[int], threshold: list[float], cover: list[float], value: list[float]) -> None:
-        self.left, self.right, self.feature, self.threshold, self.cover, self.value = left, right, feature, threshold, cover, value
-
-    def expected(self) -> float:
-        total = self.cover[0]
-        return sum(c * v for c, v, l in zip(self.cover, self.value, self.left, strict=True) if l < 0) / total
-
-    def predict(self, x: np.ndarray) -> float:
-        k = 0
-        while self.left[k] >= 0:
-            k = self.left[k] if x[self.feature[k]] <= self.threshold[k] else self.right[k]
-        return self.value[k]
-
-    def shap(self, x: np.ndarray, out: np.ndarray) -> None:
-        """Adds each feature's contribution to this tree's value.
-
-        For a leaf the path's distinct features form a game whose Shapley values follow from the
-        polynomial prod_j (zero_j + one_j t): zero_j is the share of cover that goes on when feature
-        j is unknown, one_j whether x itself goes on. Weights |S|! (m-|S|-1)! / m! integrate it.
-        """
-        stack = [(0, {})]
-        while stack:
-            k, path = stack.pop()
-            if self.left[k] >= 0:
-                f = self.feature[k]
-                z, o = path.get(f, (1.0, 1.0))
-                goes_left = x[f] <= self.threshold[k]
-                for child, here in ((self.left[k], goes_left), (self.right[k], not goes_left)):
-                    share = self.cover[child] / self.cover[k] if self.cover[k] else 0.0
-                    stack.append((child, {**path, f: (z * share, o * here)}))
-                continue
-            m = len(path)
-            if not m or not self.value[k]:
-                continue
-            weights = _shapley_weights(m)
-            items = list(path.items())
-            for i, (f, (z, o)) in enumerate(items):
-                poly = np.ones(1)
-                for j, (_, (zj, oj)) in enumerate(items):
-                    if j != i:
-                        poly = np.append(poly * zj, 0.0) + np.append(0.0, poly * oj)
-                out[f] += (o - z) * float(poly @ weights) * self.value[k]
-
-
-_WEIGHTS: dict[int, np.ndarray] = {}
-
-
-def _shapley_weights(m: int) -> np.ndarray:
-    """|S|! (m - |S| - 1)! / m! for |S| = 0 to m - 1."""
-    if m not in _WEIGHTS:
-        w = [1.0 / m]
-        for s in range(1, m):
-            w.append(w[-1] * s / (m - s))
-        _WEIGHTS[m] = np.array(w)
-    return _WEIGHTS[m]
-
-
-def export_trees(model: RandomForestClassificationModel) -> list[Tree]:
-    """The forest's trees, values as the probability of class 1. Their size is bounded by trees and
-    depth, not by the data."""
-    out = []
-    for t in model.trees:
-        left, right, feature, threshold, cover, value = [], [], [], [], [], []
-
-        def walk(node) -> int:
-            k = len(left)
-            stats = [node.impurityStats().stats()[i] for i in range(2)]
-            left.append(-1), right.append(-1), feature.append(-1), threshold.append(0.0)
-            cover.append(sum(stats)), value.append(stats[1] / sum(stats) if sum(stats) else 0.0)
-            if node.subtreeDepth() > 0:
-                feature[k], threshold[k] = node.split().featureIndex(), node.split().threshold()
-                left[k] = walk(node.leftChild())
-                right[k] = walk(node.rightChild())
-            return k
-
-        walk(t._call_java("rootNode"))
-        out.append(Tree(left, right, feature, threshold, cover, value))
-    return out
-
-
-def tree_shap(rows: DataFrame, model: RandomForestClassificationModel, features: list[str], key: str) -> DataFrame:
-    """(key, base, probability, phi array<double>); base plus the phis is the probability."""
-    trees = rows.sparkSession.sparkContext.broadcast(export_trees(model))
-    kind = dict(rows.dtypes)[key]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forest = trees.value
-        base = sum(t.expected() for t in forest) / len(forest)
-        for part in parts:
-            x = part[features].to_numpy(np.float64)
-            phi = np.zeros(x.shape)
-            for row, out in zip(x, phi, strict=True):
-                for t in forest:
-                    t.shap(row, out)
-            phi /= len(forest)
-            yield pd.DataFrame({key: part[key], "base": base, "probability": [sum(t.predict(r) for t in forest) / len(forest) for r in x], "phi": list(phi)})
-
-    return rows.select(key, *[F.col(f"`{f}`").cast("double").alias(f) for f in features]).mapInPandas(run, f"{key} {kind}, base double, probability double, phi array<double>")
+from flowgrid.operators.forest import fit_forest, tree_shap
+from flowgrid.operators.split import sample_per_class
+from flowgrid.sources.scratch import stable
 
 
 def importance(shap: DataFrame, features: list[str]) -> DataFrame:
@@ -138,10 +24,10 @@ def rank_features(importances: DataFrame, keep: int = 15) -> DataFrame:
     return importances.withColumn("rank", rank).withColumn("selected", F.col("rank") <= keep)
 
 
-def select_features(rows: DataFrame, features: list[str], key: str, target: str = "target", keep: int = 15, trees: int = 100, depth: int = 12, shap_per_class: int = 500, seed: int = 42) -> tuple[DataFrame, RandomForestClassificationModel]:
-    """Forest on all rows, SHAP on as many of each class, ranking."""
-    from flowgrid.operators.split import sample_per_class
-
-    model = fit_forest(rows, features, target, trees, depth, seed=seed)
-    shap = tree_shap(sample_per_class(rows, shap_per_class, key, target, seed), model, features, key)
-    return rank_features(importance(shap, features), keep), model
+def select_features(rows: DataFrame, features: list[str], key: str, target: str = "target", keep: int = 15, trees: int = 100, depth: int = 12, shap_per_class: int = 500, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """The ranking and the forest: grown on all rows, explained on as many rows of each class."""
+    forest = stable(fit_forest(rows, features, key, target, trees, depth, seed=seed))
+    sample = sample_per_class(rows, shap_per_class, key, target, seed)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shap = tree_shap(sample.repartition(parts, key), forest, features, key)
+    return rank_features(importance(shap, features), keep), forest

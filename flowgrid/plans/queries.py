@@ -275,6 +275,51 @@ def balanced_epoch(spark: SparkSession, sf: str) -> DataFrame:
     return split.balanced_epoch(doc_items(spark, sf), "doc_id", 3)
 
 
+# An epoch over the distinct texts of one class each; a text that has both can't stand for either.
+@query(f"""WITH {DI}, pure AS (SELECT hash FROM di WHERE split = 'train' GROUP BY hash HAVING count(DISTINCT target) = 1),
+rep AS (SELECT target, hash, min(doc_id) AS doc_id FROM di JOIN pure USING (hash) WHERE split = 'train' GROUP BY target, hash),
+b AS (SELECT target, count(*) AS n FROM rep GROUP BY target), w AS (SELECT CAST(ceil(max(n) / 4.0) * 4 AS BIGINT) AS w FROM b),
+x AS (SELECT doc_id, hash, rep.target, unnest(range((w.w + b.n - 1) // b.n)) AS cycle FROM rep JOIN b USING (target), w),
+o AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY cycle, sha256('42:5:' || cycle || ':' || doc_id), doc_id) - 1 AS pos FROM x),
+p AS (SELECT pos // 4 AS batch_id, target, hash, doc_id FROM o, w WHERE pos < w.w),
+s AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY sha256('42:5:batch:' || batch_id || ':' || doc_id), doc_id) - 1 AS slot FROM p)
+SELECT batch_id * 8 + slot AS place, batch_id, slot, target, hash, doc_id FROM s""")
+def hash_balanced_epoch(spark: SparkSession, sf: str) -> DataFrame:
+    items = doc_items(spark, sf).filter("split = 'train'")
+    pure = items.groupBy("hash").agg(F.count_distinct("target").alias("n")).filter("n = 1").select("hash")
+    return split.hash_balanced_epoch(items.join(pure, "hash", "left_semi"), "doc_id", 5)
+
+
+@query(f"WITH {DI} SELECT doc_id, row_number() OVER (ORDER BY sha256('42:2:' || doc_id), doc_id) - 1 AS place FROM di WHERE split = 'train'")
+def epoch_order(spark: SparkSession, sf: str) -> DataFrame:
+    return split.epoch_order(doc_items(spark, sf).filter("split = 'train'").select("doc_id"), "doc_id", 2)
+
+
+# Saved memberships with planted differences of every kind, against those recomputed from the events.
+_SAVED = """saved AS (
+  SELECT CASE WHEN window_id % 41 = 3 THEN -window_id ELSE window_id END AS window_id, CASE WHEN window_id % 23 = 1 THEN 'train' WHEN window_id % 29 = 2 THEN 'unused' WHEN window_id % 31 = 4 THEN NULL ELSE split END AS split,
+         CASE WHEN window_id % 19 = 5 THEN fold + 1 WHEN window_id % 37 = 6 THEN NULL ELSE fold END AS fold, CASE WHEN window_id % 17 = 7 THEN 1 - target ELSE target END AS target
+  FROM split WHERE window_id % 43 <> 8 UNION ALL SELECT window_id, split, fold, target FROM split WHERE window_id % 47 = 9)"""
+
+
+@query(f"""WITH {EV}, {_SAVED}, s AS (SELECT window_id AS k, count(*) AS n_s, min(split) AS split_s, min(fold) AS fold_s, min(target) AS target_s FROM saved GROUP BY 1),
+r AS (SELECT window_id AS k, count(*) AS n_r, min(split) AS split_r, min(fold) AS fold_r, min(target) AS target_r FROM split GROUP BY 1), j AS (SELECT * FROM s FULL JOIN r USING (k))
+SELECT count(*) FILTER (n_r IS NULL) AS only_saved, count(*) FILTER (n_s IS NULL) AS only_recomputed, count(*) FILTER (coalesce(n_s, 0) > 1 OR coalesce(n_r, 0) > 1) AS repeated,
+{", ".join(f"count(*) FILTER (n_s IS NOT NULL AND n_r IS NOT NULL AND {c}_s IS DISTINCT FROM {c}_r) AS {c}_differs" for c in ("split", "fold", "target"))},
+count(*) FILTER (n_s IS NOT NULL AND coalesce(split_s, '') NOT IN ('train', 'validation', 'test')) AS unknown_split,
+count(*) FILTER (split_s IN ('train', 'validation', 'test') AND NOT coalesce(CASE split_s WHEN 'test' THEN fold_s = -1 WHEN 'validation' THEN fold_s = 0 ELSE fold_s BETWEEN 1 AND 4 END, false)) AS fold_against_split FROM j""")
+def membership_differences(spark: SparkSession, sf: str) -> DataFrame:
+    now = event_split(spark, sf).select("window_id", "split", "fold", "target")
+    k = F.col("window_id")
+    saved = now.filter(k % 43 != 8).select(
+        F.when(k % 41 == 3, -k).otherwise(k).alias("window_id"),
+        F.when(k % 23 == 1, "train").when(k % 29 == 2, "unused").when(k % 31 == 4, F.lit(None)).otherwise(F.col("split")).alias("split"),
+        F.when(k % 19 == 5, F.col("fold") + 1).when(k % 37 == 6, F.lit(None)).otherwise(F.col("fold")).alias("fold"),
+        F.when(k % 17 == 7, 1 - F.col("target")).otherwise(F.col("target")).alias("target"),
+    )
+    return split.reconcile_membership(saved.unionByName(now.filter(k % 47 == 9)), now)
+
+
 @query(f"WITH {DI} SELECT target, {R('(SELECT count(*) FROM di) / (2.0 * count(*))')} AS weight FROM di GROUP BY target")
 def class_weights(spark: SparkSession, sf: str) -> DataFrame:
     return split.class_weights(doc_items(spark, sf)).withColumn("weight", rounded("weight"))
@@ -499,6 +544,22 @@ def cross_entropy(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.cross_entropy(doc_items(spark, sf), "p").withColumn("cross_entropy", rounded("cross_entropy"))
 
 
+# Matrices of the windows' correlations to a tenth, as they are and without the feature ``user_id``.
+_FULL = [f"coalesce(corr_{EVENT_FEATURES[min(i, j)]}_{EVENT_FEATURES[max(i, j)]}, 0)" if i != j else f"CAST(active_{EVENT_FEATURES[i]} AS INTEGER)" for i in range(4) for j in range(4)]
+_TENTHS = lambda entries: "sha256(" + " || ',' || ".join(f"CAST(CAST(round(CAST({e} AS FLOAT) * 10::DOUBLE) AS BIGINT) AS VARCHAR)" for e in entries) + ")"
+
+
+@query(f"""WITH {EV}, {_pearson_sql(EVENT_FEATURES, "win")}, m AS (SELECT split, active_user_id AS own, unnest([{{'view': 'full', 'hash': {_TENTHS(_FULL)}}}, {{'view': 'neutral', 'hash': {_TENTHS([e if i // 4 != 1 and i % 4 != 1 else "0" for i, e in enumerate(_FULL)])}}}]) AS v
+FROM cor JOIN split USING (window_id) WHERE split <> 'test'), g AS (SELECT v.view AS view, v.hash AS hash, split, count(*) AS n, count(*) FILTER (own) AS one, count(*) FILTER (NOT own) AS zero FROM m GROUP BY 1, 2, 3),
+t AS (SELECT *, coalesce(sum(n) FILTER (split = 'train') OVER (PARTITION BY view, hash), 0) AS train_n FROM g)
+SELECT view, split, CAST(sum(n) AS BIGINT) AS windows, count(*) AS distinct_hashes, {R("count(*) / CAST(sum(n) AS DOUBLE)")} AS distinct_ratio, max(n) AS largest_group, CAST(sum(CASE WHEN train_n > 0 THEN n ELSE 0 END) AS BIGINT) AS matches_train,
+CAST(sum(one) AS BIGINT) AS diagonal_one, CAST(sum(zero) AS BIGINT) AS diagonal_zero FROM t GROUP BY view, split""")
+def representation_audit(spark: SparkSession, sf: str) -> DataFrame:
+    matrices = correlate.pearson_arrow(event_windows(spark, sf), EVENT_FEATURES).join(event_split(spark, sf).select("window_id", "split"), "window_id")
+    found = represent.representation_audit(matrices, 4, 1, digits=1)
+    return found.withColumn("distinct_ratio", rounded("distinct_ratio"))
+
+
 # --- inventories and selection -------------------------------------------------------------------
 
 
@@ -520,4 +581,4 @@ def schema_inventory(spark: SparkSession, sf: str) -> DataFrame:
 def rf_shap_rank(spark: SparkSession, sf: str) -> DataFrame:
     features = [*LINE_FEATURES, "l_linenumber"]
     rows, _ = ordering.ordered_index(line_flows(spark, sf).filter("split = 'train'"), LINE_KEYS, "row")
-    return select.select_features(rows, features, "row", keep=3, trees=10, depth=5, shap_per_class=50)[0].select("rank", "feature", "feature_index", "importance", "selected")
+    return select.select_features(rows, features, "row", keep=min(15, len(features)))[0].select("rank", "feature", "feature_index", "importance", "selected")

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from flowgrid.functions import scalar
-from flowgrid.operators import correlate, encode, hashes, metrics, ordering, prepare, profile, represent, select, split, windows
+from flowgrid.operators import correlate, encode, forest, hashes, metrics, ordering, prepare, profile, represent, select, split, windows
 
 
 def one(frame):
@@ -227,22 +227,66 @@ def brute_shapley(tree, x):
     return phi
 
 
-def test_tree_shap(spark):
+@pytest.fixture(scope="module")
+def two_signals(spark):
     r = np.random.default_rng(4)
     x = pd.DataFrame(r.normal(size=(400, 4)), columns=list("abcd")).assign(id=np.arange(400))
     x["target"] = ((x.a > 0) ^ (x.b > 0.5)).astype(int)
-    df = spark.createDataFrame(x)
-    model = select.fit_forest(df, list("abcd"), trees=3, depth=4)
-    trees = select.export_trees(model)
-    row = x.loc[0, list("abcd")].to_numpy(float)
-    for t in trees:
-        out = np.zeros(4)
-        t.shap(row, out)
-        assert np.allclose(out, brute_shapley(t, row))
-    got = select.tree_shap(df.limit(20), model, list("abcd"), "id").toPandas()
+    return x, spark.createDataFrame(x)
+
+
+def test_tree_shap(spark, two_signals):
+    x, df = two_signals
+    model = forest.fit_forest(df, list("abcd"), "id", trees=5, depth=4).cache()
+    rows = x.loc[:6, list("abcd")].to_numpy(float)
+    for t in forest.trees_of(model):
+        out = np.zeros(rows.shape)
+        t.shap(rows, out)
+        for row, phi in zip(rows, out, strict=True):
+            assert np.allclose(phi, brute_shapley(t, row))
+    got = forest.tree_shap(df.limit(20), model, list("abcd"), "id").toPandas()
     assert np.allclose(got.base + got.phi.map(sum), got.probability)
-    ranked = select.rank_features(select.importance(select.tree_shap(df, model, list("abcd"), "id"), list("abcd")), 2).toPandas()
+    ranked = select.rank_features(select.importance(forest.tree_shap(df, model, list("abcd"), "id"), list("abcd")), 2).toPandas()
     assert set(ranked[ranked.selected].feature) == {"a", "b"}
+    assert np.mean((got.set_index("id").probability > 0.5) == x.set_index("id").target[got.id].astype(bool)) > 0.8
+
+
+def test_bootstrap_of_each_tree(spark):
+    n, trees = 6000, 100
+    df = spark.range(n).select(F.col("id"), (F.col("id") % 10 == 0).cast("int").alias("target"), (F.col("id") % 97).cast("double").alias("a"), (F.col("id") % 10).cast("double").alias("b"))
+    drawn = forest.bootstrap_draws(df, "id", trees, 0.5, 7).groupBy("tree", "id", "target").count().toPandas()
+    sizes = drawn.groupby("tree")["count"].sum()
+    assert len(sizes) == trees and abs(sizes - n / 2).max() < 6 * (n / 2) ** 0.5 and sizes.nunique() > 50
+    # Poisson draws: as many rows drawn k times as the distribution says, and trees differ.
+    for k, p in enumerate(np.exp(-0.5) * 0.5 ** np.arange(4) / [1, 1, 2, 6]):
+        seen = trees * n - len(drawn) if k == 0 else (drawn["count"] == k).sum()
+        assert abs(seen - trees * n * p) < 6 * (trees * n * p) ** 0.5
+    assert len({frozenset(g.id) for _, g in drawn.groupby("tree")}) == trees
+    model = forest.fit_forest(df, ["a", "b"], "id", trees=trees, depth=3, draws=n // 2, seed=7).toPandas().set_index("tree")
+    assert len(model) == trees
+    for tree, group in drawn.groupby("tree"):
+        one = model.loc[tree]
+        total, ones = group["count"].sum(), group["count"][group.target == 1].sum()
+        assert (one.draws, one.rows) == (total, len(group))
+        assert (one.weight_0, one.weight_1) == (total / (2 * (total - ones)), total / (2 * ones))  # of this draw, not of all rows
+        assert one.value[0] == pytest.approx(0.5) and one.cover[0] == pytest.approx(total)
+        assert len(one.left) <= 2 ** 4 - 1
+    # The same key draws the same, however rows are dealt.
+    again = forest.fit_forest(df.repartition(7).orderBy(F.desc("id")), ["a", "b"], "id", trees=trees, depth=3, draws=n // 2, seed=7).toPandas().set_index("tree")
+    assert all(list(model.loc[t].threshold) == list(again.loc[t].threshold) for t in range(trees))
+
+
+def test_grown_trees_split_where_impurity_falls_most():
+    r = np.random.default_rng(5)
+    x, y, draws = r.integers(0, 6, (80, 1)).astype(float), r.integers(0, 2, 80), r.integers(1, 4, 80).astype(float)
+    tree = forest.grow(x, y, draws, 1, 2, 1, 0)
+    w = draws * np.where(y == 1, tree["weight_1"], tree["weight_0"])
+    gini = lambda m: 2 * w[m].sum() * (p := (w[m] * y[m]).sum() / w[m].sum()) * (1 - p)
+    cuts = [c for c in np.unique(x)[:-1] + 0.5 if min((x[:, 0] <= c).sum(), (x[:, 0] > c).sum()) >= 2]
+    best = min(gini(x[:, 0] <= c) + gini(x[:, 0] > c) for c in cuts)
+    got = x[:, 0] <= tree["threshold"][0]
+    assert gini(got) + gini(~got) == pytest.approx(best)
+    assert forest.grow(x, np.zeros(80, int), draws, 5, 2, 1, 0)["left"] == [-1]  # one class: a leaf
 
 
 def test_labels(spark):
@@ -275,3 +319,73 @@ def test_classes_of_details(spark):
         prepare.require_class(classed.filter("paper_class = ''"), "paper_class", "Mirai")
     with pytest.raises(Exception, match="unknown label"):
         spark.createDataFrame([("other", "DDoS")], "l string, d string").select(prepare.class_map("l", "d")).collect()
+
+
+def test_hash_balanced_epoch(spark):
+    rows = [(k, "s%d" % (k % 13 if k % 3 else 100 + k), int(k % 3 == 0), "train") for k in range(200)] + [(900, "v", 1, "validation")]
+    rows = [(k, h + str(t), t, s) for k, h, t, s in rows]
+    items = spark.createDataFrame(rows, "id long, hash string, target int, split string")
+    for epoch in (0, 1):
+        got = split.hash_balanced_epoch(items, "id", epoch, batch=6).toPandas().sort_values("place")
+        sizes = items.filter("split = 'train'").toPandas().groupby("target").hash.nunique()
+        assert got.place.tolist() == list(range(len(got))) and len(got) == 2 * 3 * -(-sizes.max() // 3)
+        assert (got.groupby("batch_id").target.agg(["sum", "count"]) == [3, 6]).all().all()  # exact shares in every batch
+        large = got[got.target == sizes.idxmax()]
+        assert large.hash.value_counts().between(1, 2).all() and large.hash.nunique() == sizes.max()
+        small_ = got[got.target == sizes.idxmin()].hash.value_counts()
+        assert small_.max() - small_.min() <= 1 and len(small_) == sizes.min()  # whole cycles
+        first = {h: min(k for k, g, _, s in rows if g == h and s == "train") for h in got.hash}
+        assert (got.hash.map(first) == got.id).all()
+    other = split.hash_balanced_epoch(items, "id", 0, batch=6).toPandas().sort_values("place")
+    assert other.id.tolist() != got.id.tolist()
+    mixed = items.union(spark.createDataFrame([(500, rows[0][1], 1 - rows[0][2], "train")], items.schema))
+    with pytest.raises(ValueError, match="both classes"):
+        split.hash_balanced_epoch(mixed, "id", 0)
+
+
+def test_representation_audit(spark):
+    r = np.random.default_rng(3)
+    kinds = [r.choice([-0.5, 0.0, 1.0], 9).astype(np.float32) for _ in range(4)]
+    rows = []
+    for k in range(120):
+        m = kinds[r.integers(4)].copy()
+        m[m == 0] = [0.0, -0.0][k % 2]  # one zero, however it is written
+        m[4] = k % 2
+        rows.append((k, ["train", "validation", "test"][k % 3], [float(v) for v in m]))
+    df = spark.createDataFrame(rows, "window_id long, split string, corr array<float>")
+    got = {(x["view"], x["split"]): x.asDict() for x in represent.representation_audit(df, 3, 1).collect()}
+    for view in ("full", "neutral"):
+        counts = {}
+        for _, s, m in rows:
+            m = np.array(m).reshape(3, 3)
+            if view == "neutral":
+                m[1, :] = m[:, 1] = 0
+            key = tuple((m + 0.0).ravel())
+            counts.setdefault(s, {}).setdefault(key, []).append(1)
+        for s in ("train", "validation"):
+            sizes = {g: len(n) for g, n in counts[s].items()}
+            x = got[view, s]
+            assert (x["windows"], x["distinct_hashes"], x["largest_group"]) == (40, len(sizes), max(sizes.values()))
+            assert x["matches_train"] == sum(n for g, n in sizes.items() if g in counts["train"])
+            assert x["diagonal_one"] + x["diagonal_zero"] == 40
+    assert ("full", "test") not in got
+
+
+def test_membership(spark):
+    rows = [(k, ["train", "validation", "test"][min(k % 5, 2)], {0: 1, 1: 0}.get(k % 5, -1), k % 2) for k in range(50)]
+    now = spark.createDataFrame(rows, "window_id long, split string, fold int, target int")
+    assert all(v == 0 for v in split.reconcile_membership(now, now).first())
+    saved = [list(x) for x in rows]
+    saved[0][1], saved[5][2], saved[6][3], saved[7][1], saved[10][2] = "test", 0, 1, None, None
+    saved = [tuple(x) for x in saved if x[0] != 20] + [rows[3], (99, "train", 2, 1), (None, "train", 2, 1)]
+    got = split.reconcile_membership(spark.createDataFrame(saved, now.schema), now).first().asDict()
+    assert got == {"only_saved": 2, "only_recomputed": 1, "repeated": 1, "split_differs": 2, "fold_differs": 2, "target_differs": 1, "unknown_split": 1, "fold_against_split": 3}
+
+
+def test_crossing_rows(spark):
+    rows = [(k, k // 5, "train" if k < 10 else "test") for k in range(20)]
+    frame = lambda x: spark.createDataFrame(x, "row_idx long, window_id long, split string")
+    places = spark.createDataFrame([(k, "train" if k < 2 else "test") for k in range(4)], "window_id long, split string")
+    assert tuple(split.crossing_rows(frame(rows), places, 5).first()) == (0, 0, 0)
+    broken = [(k, 1 if k == 3 else w, "test" if k == 7 else s) for k, w, s in rows if k != 19]
+    assert tuple(split.crossing_rows(frame(broken), places, 5).first()) == (1, 1, 3)
