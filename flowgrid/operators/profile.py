@@ -76,14 +76,7 @@ def find_label_column(columns: list[str]) -> str | None:
     return name if rank < 2 * len(exact) else None
 
 
-def file_inventory(df: DataFrame, label: str | None = None) -> DataFrame:
-    """Bytes, rows and distinct labels of each file that ``df`` is read from."""
-    aggs = [F.max("_metadata.file_size").alias("bytes"), F.count("*").alias("rows")]
-    if label:
-        aggs.append(F.count_distinct(F.col(f"`{label}`")).alias("distinct_labels"))
-    return df.groupBy(F.col("_metadata.file_name").alias("file")).agg(*aggs)
-
-
 def schema_inventory(files: DataFrame, columns: str = "columns") -> DataFrame:
-    """How many files have each ordered list of columns, and one of them. Takes (file, columns)."""
-    return files.groupBy(F.concat_ws("|", columns).alias("columns"), F.size(columns).alias("column_count")).agg(F.count("*").alias("files"), F.min("file").alias("example_file"))
+    """How many files have each ordered list of columns, their rows, and the first of them. Takes
+    (file, columns, rows)."""
+    return files.groupBy(F.concat_ws("|", columns).alias("columns"), F.size(columns).alias("column_count")).agg(F.count("*").alias("files"), F.sum("rows").alias("rows"), F.min("file").alias("example_file"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowgrid.operators.ordering import ordered_index
 from flowgrid.operators.split import stratified_split
 from flowgrid.operators.windows import count_windows, window_manifest
+from flowgrid.sources.scratch import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,3 +133,44 @@ di AS (
          CASE WHEN h.hash IS NULL OR h.train_benign = h.train_malicious THEN majority ELSE CAST(h.train_malicious > h.train_benign AS INTEGER) END AS predicted
   FROM (SELECT * FROM di WHERE split = 'validation') v LEFT JOIN (SELECT * FROM hg WHERE train_benign + train_malicious > 0) h USING (hash), maj
 )"""
+
+
+#: Files that orders are dealt to, by customer.
+ORDER_FILES = 64
+
+_EVEN = ["ts", "key", "note", "tunnel_parents   label   detailed-label"]
+_ODD = ["note", "Label", "key"]
+# A record's cells, the same text in Spark and in SQL: odd times, missing markers, empty sets, cells
+# with quotes, delimiters and line breaks.
+_TS = "CASE WHEN o_custkey % 13 = 0 THEN 'x' WHEN o_custkey % 7 = 0 THEN ' 5 ' ELSE CAST(o_custkey % 100 AS STRING) END"
+_NOTE = "CASE o_orderkey % 5 WHEN 0 THEN '-' WHEN 1 THEN '(empty)' WHEN 2 THEN o_orderpriority WHEN 3 THEN concat('\"a \"\"', o_orderstatus, '\"\",', chr(10), 'z\"') ELSE '' END"
+_LINE = f"CASE WHEN o_custkey % {ORDER_FILES} % 2 = 0 THEN concat({_TS}, ',', o_orderkey, ',', {_NOTE}, ',- ', o_orderstatus, ' ', o_orderkey % 3) ELSE concat({_NOTE}, ',', o_orderstatus, ',', o_orderkey) END"
+
+
+def order_files(spark: SparkSession, sf_dir: str) -> str:
+    """Orders as delimited files of two schemas, in the order of their keys; the path of their folder."""
+    path = scratch_path(spark, "orders")
+    orders = table(spark, sf_dir, "orders")
+    bucket = (F.col("o_custkey") % ORDER_FILES).alias("bucket")
+    rows = orders.select(bucket, F.col("o_orderkey").alias("at"), F.expr(_LINE).alias("value"))
+    heads = orders.select(bucket).distinct().select("bucket", F.lit(-1).cast("long").alias("at"), F.when(F.col("bucket") % 2 == 0, ",".join(_EVEN)).otherwise(",".join(_ODD)).alias("value"))
+    rows.unionByName(heads).repartition(ORDER_FILES, "bucket").sortWithinPartitions("bucket", "at").select("bucket", "value").write.partitionBy("bucket").option("compression", "none").text(path)
+    return path
+
+
+def order_file(path: Column | str = "file") -> Column:
+    """The number of a file of order_files() by its path."""
+    return F.regexp_extract(path, "bucket=([0-9]+)", 1).cast("int")
+
+
+OF = f"""
+lines AS (
+  SELECT CAST(o_custkey % {ORDER_FILES} AS INTEGER) AS file, o_orderkey AS pos, {_LINE.replace("STRING", "VARCHAR")} AS line FROM orders
+  UNION ALL SELECT DISTINCT CAST(o_custkey % {ORDER_FILES} AS INTEGER), -1, CASE WHEN o_custkey % {ORDER_FILES} % 2 = 0 THEN '{",".join(_EVEN)}' ELSE '{",".join(_ODD)}' END FROM orders
+), cells AS (
+  SELECT CAST(o_custkey % {ORDER_FILES} AS INTEGER) AS file, o_orderkey AS pos, trim({_TS.replace("STRING", "VARCHAR")}) AS ts, o_orderstatus AS status, CAST(o_orderkey AS VARCHAR) AS key, CAST(o_orderkey % 3 AS VARCHAR) AS third,
+         CASE o_orderkey % 5 WHEN 0 THEN '-' WHEN 1 THEN '(empty)' WHEN 2 THEN o_orderpriority WHEN 3 THEN concat('a "', o_orderstatus, '",', chr(10), 'z') ELSE '' END AS note FROM orders
+), named AS (
+  SELECT file, pos, unnest(CASE WHEN file % 2 = 0 THEN [{{'p': 0, 'c': 'ts', 'v': ts}}, {{'p': 1, 'c': 'key', 'v': key}}, {{'p': 2, 'c': 'note', 'v': note}}, {{'p': 3, 'c': 'tunnel_parents', 'v': '-'}}, {{'p': 4, 'c': 'label', 'v': status}}, {{'p': 5, 'c': 'detailed-label', 'v': third}}]
+    ELSE [{{'p': 0, 'c': 'note', 'v': note}}, {{'p': 1, 'c': 'Label', 'v': status}}, {{'p': 2, 'c': 'key', 'v': key}}] END) AS x FROM cells
+)"""

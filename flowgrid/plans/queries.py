@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from flowgrid.functions.scalar import finite, rounded, to_number
 from flowgrid.operators import correlate, encode, hashes, metrics, ordering, prepare, profile, represent, select, split, windows
-from flowgrid.plans.frames import DI, EV, EVENT_FEATURES, LI, LINE_FEATURES, LINE_KEYS, doc_items, event_flows, event_split, event_windows, line_flows, line_part, line_windows, table
+from flowgrid.plans.frames import DI, EV, EVENT_FEATURES, LI, LINE_FEATURES, LINE_KEYS, OF, doc_items, event_flows, event_split, event_windows, line_flows, line_part, line_windows, order_file, order_files, table
+from flowgrid.sources import inventory
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -563,18 +564,37 @@ def representation_audit(spark: SparkSession, sf: str) -> DataFrame:
 # --- inventories and selection -------------------------------------------------------------------
 
 
-@query("SELECT count(*) AS rows, count(DISTINCT lang) AS distinct_labels FROM documents")
+@query(f"""WITH {OF}, w AS (SELECT file, string_agg(line, chr(10) ORDER BY pos) || chr(10) AS body FROM lines GROUP BY file), n AS (SELECT file, count(*) AS rows, count(DISTINCT status) AS statuses FROM cells GROUP BY file)
+SELECT file, octet_length(encode(body)) AS bytes, sha256(body) AS sha256, rows, CASE WHEN file % 2 = 0 THEN 'ts|key|note|tunnel_parents   label   detailed-label' ELSE 'note|Label|key' END AS columns, CAST(CASE WHEN file % 2 = 0 THEN 4 ELSE 3 END AS INTEGER) AS column_count,
+CASE WHEN file % 2 = 1 THEN 'Label' END AS label_column, CASE WHEN file % 2 = 1 THEN statuses ELSE 0 END AS distinct_labels FROM w JOIN n USING (file)""")
 def file_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    files = profile.file_inventory(table(spark, sf, "documents"), "lang")
-    return files.select("rows", "distinct_labels")  # SQL knows neither files' names nor their bytes
+    files, _ = inventory.file_inventory(spark, order_files(spark, sf), glob="*.txt")
+    return files.withColumns({"file": order_file(), "columns": F.array_join("columns", "|")})
 
 
-@query("""SELECT columns, column_count, count(*) AS files, min(file) AS example_file FROM (SELECT table_name AS file, string_agg(column_name, '|' ORDER BY ordinal_position) AS columns, CAST(count(*) AS INTEGER) AS column_count
-FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events') GROUP BY table_name) GROUP BY columns, column_count""")
+@query(f"""WITH {OF}, t AS (SELECT file, pos, ts, TRY_CAST(ts AS DOUBLE) AS t FROM cells WHERE file % 2 = 0), s AS (SELECT file, count(*) FILTER (t < before) AS steps FROM (SELECT *, lag(t) OVER (PARTITION BY file ORDER BY pos) AS before FROM t WHERE t IS NOT NULL) GROUP BY file)
+SELECT c.file AS file, 'complete_file' AS status, count(*) AS rows, CASE WHEN c.file % 2 = 0 THEN 6 ELSE 3 END AS parsed_columns, min_by(t.ts, (t.t, t.pos)) FILTER (t.t IS NOT NULL) AS ts_min, max_by(t.ts, (t.t, -t.pos)) FILTER (t.t IS NOT NULL) AS ts_max,
+count(*) FILTER (t.pos IS NOT NULL AND t.t IS NULL) AS ts_invalid, max(coalesce(s.steps, 0)) AS backward_steps FROM cells c LEFT JOIN t USING (file, pos) LEFT JOIN s ON s.file = c.file GROUP BY c.file""")
+def audit_files(spark: SparkSession, sf: str) -> DataFrame:
+    files = inventory.audit_files(spark, order_files(spark, sf), glob="*.txt", recursive=True).files
+    return files.select(order_file().alias("file"), "status", "rows", "parsed_columns", "ts_min", "ts_max", "ts_invalid", "backward_steps")
+
+
+@query(f"""WITH {OF} SELECT file, CAST(x.p AS INTEGER) AS position, x.c AS "column", count(*) AS rows, count(*) FILTER (lower(trim(x.v)) IN ('', '-', 'nan', 'null', 'none')) AS missing, count(*) FILTER (x.v = '(empty)') AS empty_sets, min(x.v) = max(x.v) AS constant FROM named GROUP BY ALL""")
+def audit_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return inventory.audit_files(spark, order_files(spark, sf), glob="*.txt", recursive=True).columns.withColumn("file", order_file())
+
+
+@query(f"""WITH {OF} SELECT file, x.c AS "column", x.v AS label, count(*) AS n FROM named WHERE contains(lower(x.c), 'label') GROUP BY ALL""")
+def audit_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return inventory.audit_files(spark, order_files(spark, sf), glob="*.txt", recursive=True).labels.withColumn("file", order_file())
+
+
+@query(f"""WITH {OF}, h AS (SELECT file, CASE WHEN file % 2 = 0 THEN 'ts|key|note|tunnel_parents   label   detailed-label' ELSE 'note|Label|key' END AS columns, count(*) AS n FROM cells GROUP BY file)
+SELECT columns, CAST(CASE WHEN columns[1:2] = 'ts' THEN 4 ELSE 3 END AS INTEGER) AS column_count, count(*) AS files, CAST(sum(n) AS BIGINT) AS rows, min(file) AS example_file FROM h GROUP BY columns""")
 def schema_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
-    rows = [(n, table(spark, sf, n).columns) for n in names]
-    return profile.schema_inventory(spark.createDataFrame(rows, "file string, columns array<string>"))
+    files, _ = inventory.file_inventory(spark, order_files(spark, sf), glob="*.txt")
+    return profile.schema_inventory(files.withColumn("file", order_file()))
 
 
 @query()

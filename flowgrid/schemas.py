@@ -12,6 +12,8 @@ FEATURES = [f for f in RAW_FIELDS if f not in DROPPED_FIELDS]
 CATEGORICAL = ["uid", "id.orig_h", "id.resp_h", "proto", "conn_state", "history"]
 NUMERIC = [f for f in FEATURES if f not in CATEGORICAL]
 RENAMED = {"det_label": "detailed-label"}
+# Fields that one header cell may hold together, in audits.
+MERGED_HEADERS = [["tunnel_parents", "label", "detailed-label"], ["tunnel_parents", "label", "det_label"]]
 # What stands for a missing value, after trimming, in any case; and an empty set.
 MISSING_MARKERS = ["", "-", "nan", "null", "none"]
 EMPTY_MARKER = "(empty)"

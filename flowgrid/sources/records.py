@@ -24,9 +24,10 @@ from flowgrid.sources.scratch import stable
 _SCANNED = "file string, block long, at long, line string, inside boolean, odd boolean, blank boolean, ends0 long, ends1 long, rows0 long, rows1 long"
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = False) -> DataFrame:
     """(file, block, line): lines end at a line feed alone, a carriage return before it stays."""
-    return spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", recursive)
+    return (reader.option("pathGlobFilter", glob) if glob else reader).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,8 +89,8 @@ def _quoted_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cells, pa.list_(pa.string()))], names=["file", "record", "row", "cells"])
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, record, row, cells): the records of delimited files, strictly read.
+def read_records(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = False) -> DataFrame:
+    """(file, record, row, cells): the records of a delimited file, or of a folder's, strictly read.
 
     ``record`` counts a file's records from 0, the header, blank ones included; ``row`` counts only
     those that aren't blank. Blank records give no rows. Quoted cells may hold delimiters, doubled
@@ -99,7 +100,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     Two scans; lines without quotes aren't shuffled.
     """
-    scanned = _lines(spark, path).mapInArrow(_scan, _SCANNED)
+    scanned = _lines(spark, path, glob, recursive).mapInArrow(_scan, _SCANNED)
     starts = small(stable(_blocks(scanned).drop("records", "rows")))
     own = lambda k: F.when(F.col("starts_inside"), F.col(f"{k}1")).otherwise(F.col(f"{k}0"))
     placed = scanned.join(starts, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
