@@ -101,19 +101,6 @@ def write_dictionary(dictionary: DataFrame, path: str) -> None:
     dictionary.write.mode("errorifexists").option("compression", "gzip").json(path)
 
 
-def write_shards(images: DataFrame, path: str, key: str = "window_id", shard: int = 1000) -> None:
-    """Images in Parquet, ranges of keys together, a folder a shard: a key names its shard."""
-    images.withColumn("shard", F.floor(F.col(key) / shard)).repartitionByRange("shard").sortWithinPartitions(key).write.mode("errorifexists").partitionBy("shard").parquet(path)
-
-
-def read_image(spark: SparkSession, path: str, key_value: int, key: str = "window_id", shard: int = 1000) -> bytes:
-    """One image; only its shard's files are opened."""
-    row = spark.read.parquet(path).filter((F.col("shard") == key_value // shard) & (F.col(key) == key_value)).select("png").first()
-    if row is None:
-        raise KeyError(key_value)
-    return bytes(row["png"])
-
-
 def split_view(items: DataFrame, overrides: DataFrame, key: str) -> DataFrame:
     """The same items under another split: a small table of changes over unchanged data."""
     changed = overrides.select(F.col(key).alias("_key"), F.col("split").alias("_split"))

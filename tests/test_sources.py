@@ -1,5 +1,6 @@
 import csv
 import gzip
+import hashlib
 import json
 import random
 
@@ -7,7 +8,7 @@ import pytest
 
 from flowgrid import schemas
 from flowgrid.operators import prepare
-from flowgrid.sources import flows, records, sinks
+from flowgrid.sources import flows, records, shards, sinks
 from flowgrid.streaming import profile as streaming
 
 HEADER = schemas.RAW_FIELDS[:-1]
@@ -169,12 +170,44 @@ def test_stages_are_kept_and_not_overwritten(spark, tmp_path):
         sinks.write_report(df, f"{tmp_path}/d")
 
 
-def test_shards(spark, tmp_path):
-    images = spark.range(5).selectExpr("id * 700 AS window_id", "CAST(CAST(id AS STRING) AS BINARY) AS png")
-    sinks.write_shards(images, f"{tmp_path}/s")
-    assert sinks.read_image(spark, f"{tmp_path}/s", 2100) == b"3"
-    with pytest.raises(KeyError):
-        sinks.read_image(spark, f"{tmp_path}/s", 1)
+def test_shards(spark, tmp_path, monkeypatch):
+    images = spark.range(60).selectExpr("id * 70 AS window_id", "CAST(concat('image ', id) AS BINARY) AS png")
+    whole, folder = f"{tmp_path}/whole", f"{tmp_path}/s"
+    assert shards.write_shards(images, whole, "c") == {"kept": 0, "written": 5}
+    commit = shards._commit
+
+    def killed(spark, folder, part, shard, facts):
+        if shard == 3:
+            (tmp_path / "s/data/shard=000000003").mkdir(parents=True)  # moved in part
+            raise KeyboardInterrupt
+        commit(spark, folder, part, shard, facts)
+
+    monkeypatch.setattr(shards, "_commit", killed)
+    with pytest.raises(KeyboardInterrupt):
+        shards.write_shards(images, folder, "c", wave=2)
+    monkeypatch.undo()
+    kept = shards.completed_shards(spark, folder, "c")
+    assert kept in ([0, 1], [0, 1, 2])
+    (tmp_path / "s/data/shard=000000001/part-x").write_bytes(b"more")  # not what was committed
+    done = shards.write_shards(images.repartition(7), folder, "c", wave=2)
+    assert done == {"kept": len(kept) - 1, "written": 6 - len(kept)}
+    assert shards.write_shards(images, folder, "c") == {"kept": 5, "written": 0}
+    # Resumed and whole runs hold the same bytes.
+    body = lambda at: {p.parent.name: p.read_bytes() for p in (tmp_path / at / "data").rglob("*.parquet")}
+    assert len(body("s")) == 5 and {k: len(v) for k, v in body("s").items()} == {k: len(v) for k, v in body("whole").items()}
+    every = lambda at: sorted(map(tuple, spark.read.parquet(f"{at}/data").select("shard", "window_id", "png").collect()))
+    assert every(folder) == every(whole) and len(every(folder)) == 60
+    sides = lambda at: sorted((x["shard"], x["images"], x["sha256"]) for x in shards.sidecars(spark, at).collect())
+    assert sides(folder) == sides(whole) and sides(folder)[0][2][1] == hashlib.sha256(b"image 1").hexdigest()
+    assert shards.read_image(spark, folder, 2100) == b"image 30"
+    for absent in (1, 10**9):
+        with pytest.raises(KeyError):
+            shards.read_image(spark, folder, absent)
+    some = shards.read_images(spark, folder, spark.range(40, 60).selectExpr("id * 70 AS window_id").union(spark.createDataFrame([(2800,), (5,)], "window_id long")))
+    assert sorted((x["window_id"], bytes(x["png"])) for x in some.collect()) == [(k * 70, b"image %d" % k) for k in range(40, 60)]
+    assert shards.damaged_images(spark, folder).isEmpty()
+    with pytest.raises(FileExistsError, match="another configuration"):
+        shards.write_shards(images, folder, "other")
 
 
 def test_streaming(spark, tmp_path):
