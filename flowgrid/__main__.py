@@ -29,16 +29,22 @@ def parser() -> argparse.ArgumentParser:
 
     add("audit", stages.audit, "folder", "out", recursive=False, limit=None)
     add("external-audit", stages.external_audit, "folder", "out", label="", threshold=0.999)
+    add("pilot", stages.pilot_stage, "audited", "folder", "out", most=200_000)
+    add("label", stages.label_stage, "pilot", "extra", "out", rows=10_000, wanted="Mirai")
     add("prepare", stages.prepare_stage, "path", "out")
     add("sort", stages.sort_stage, "folder", "out")
     add("encode", stages.encode_stage, "folder", "out")
     add("split", stages.split_stage, "folder", "out", seed=42, fold=0)
+    add("validate", stages.validate_stage, "folder", "split_folder", "out", seed=42, fold=0)
     add("select", stages.select_stage, "folder", "out", without=(), keep=15, trees=100, depth=12, shap_per_class=500)
     add("correlate", stages.correlate_stage, "folder", "ranking", "out", variance_threshold=1e-8, redundancy_threshold=0.999)
+    add("represent-audit", stages.represent_audit_stage, "images", "out", feature="uid")
     add("index", stages.index_stage, "images", "split_folder", "out")
     add("lookup", stages.lookup_stage, "index", "out")
     add("hash-split", stages.hash_split_stage, "index", "out")
     add("diagnose", stages.diagnose_stage, "predictions", "index", "out")
+    add("train", stages.train_stage, "index", "images", "out", epochs=20, steps=10, patience=5, hidden=16, seed=42, batch=8)
+    add("evaluate", stages.evaluate_stage, "index", "images", "model", "out", confirm=False)
     return p
 
 

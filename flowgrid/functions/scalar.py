@@ -85,7 +85,8 @@ def above(p: Column | str, threshold: float = 0.5) -> Column:
     return (_c(p) > threshold).cast("int")
 
 
-def safe_name(name: str) -> str:
+def flat_name(name: str) -> str:
+    """A field's name without dots."""
     return name.replace(".", "_")
 
 

@@ -21,6 +21,14 @@ def label_distribution(df: DataFrame, label: str) -> DataFrame:
     return n.crossJoin(F.broadcast(total)).select("label", "n", (F.col("n") / F.col("_all")).alias("fraction"), guess.alias("guess"))
 
 
+def label_shares(counts: DataFrame, by: str) -> DataFrame:
+    """The same from counts (by, label, n) of labels as they stand, within each value of ``by``."""
+    n = counts.groupBy(by, F.coalesce(clean("label"), F.lit("")).alias("label")).agg(F.sum("n").alias("n"))
+    total = n.groupBy(F.col(by).alias("_by")).agg(F.sum("n").alias("_all"))
+    guess = F.when(F.col("label") == "", "unlabelled").when(F.col("label").isin(BENIGN_TOKENS), "benign").otherwise("malicious")
+    return n.join(total, F.col(by) == F.col("_by")).select(by, "label", "n", (F.col("n") / F.col("_all")).alias("fraction"), guess.alias("guess"))
+
+
 def _unpivot(aggregated: DataFrame, columns: list[str], measures: list[str]) -> DataFrame:
     """One wide row to one row a column."""
     one = lambda k, c: F.struct(F.lit(c).alias("column"), *[F.col(f"{m}_{k}").alias(m) for m in measures])

@@ -7,13 +7,17 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowgrid.operators.encode import small
 from flowgrid.schemas import LABEL_FIELDS, RAW_FIELDS, RENAMED
-from flowgrid.sources.records import checked_cells, first_record, read_records
+from flowgrid.sources.records import checked_cells, first_record, only, read_records
+
+#: Files of a folder that count: those ending in .csv in any case.
+GLOB = "*.[cC][sS][vV]"
 
 
 def discover(spark: SparkSession, folder: str, recursive: bool = False) -> list[str]:
     """Paths of the CSV files below a folder, sorted; the ending counts in any case."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.[cC][sS][vV]").load(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", GLOB).load(folder)
     return sorted(r["path"] for r in files.select("path").collect())
 
 
@@ -56,7 +60,7 @@ def _projection(groups: list[list[str]], cells: Column) -> list[Column]:
 
 def _read(spark: SparkSession, path: str, expected: list[str] | None, blank_count: bool, wanted: Column) -> DataFrame:
     groups = parse_header(header_cells(spark, path), expected)
-    records = read_records(spark, path).filter(wanted).withColumn("_cells", checked_cells(F.col("cells"), len(groups)))
+    records = only(read_records(spark, path), wanted).withColumn("_cells", checked_cells(F.col("cells"), len(groups)))
     number = F.col("record" if blank_count else "row").alias("source_row")
     return records.select(*_projection(groups, F.col("_cells")), F.element_at(F.split("file", "/"), -1).alias("source_file"), number)
 
@@ -76,6 +80,34 @@ def read_prefix(spark: SparkSession, path: str, rows: int, expected: list[str] |
     return _read(spark, path, expected, blank_count, (F.col("record") > 0) & (F.col("row") <= rows))
 
 
+def read_folder(spark: SparkSession, folder: str, files: DataFrame | None = None, expected: list[str] | None = None, recursive: bool = False) -> DataFrame:
+    """Records of a folder's files, or of those that ``files`` (file) names, each under its own header,
+    in one scan: the expected fields in their order, source_file, and source_row, which counts the
+    rows that aren't blank. Headers may order and merge the fields as they like; missing, extra and
+    repeated fields and records that don't go with their header fail.
+    """
+    fields = expected or RAW_FIELDS + LABEL_FIELDS
+    records = read_records(spark, folder, GLOB, recursive)
+    if files is not None:
+        records = records.join(small(files.select("file").distinct()), "file", "left_semi")
+    words = lambda c: F.split(F.regexp_replace(c, r"^\s+|\s+$", ""), r"\s+")
+    headers = only(records, F.col("record") == 0).select(F.col("file").alias("_file"), F.transform("cells", lambda c: F.transform(words(c), _renamed)).alias("_groups"))
+    names = F.flatten("_groups")
+    sound = (F.array_sort(names) == F.array_sort(F.array(*[F.lit(f) for f in fields]))) & (F.size(names) == len(fields))
+    checked = F.when(sound, F.col("_groups")).otherwise(F.raise_error(F.concat(F.lit("missing, extra or repeated fields: "), F.col("_file"), F.lit(": "), F.array_join(names, ","))).cast("array<array<string>>"))
+    headers = headers.select("_file", checked.alias("_groups"))
+    rows = only(records, F.col("record") > 0).join(small(headers), F.col("file") == F.col("_file"))
+    parts = F.zip_with(checked_cells(F.col("cells"), F.size("_groups")), "_groups", lambda v, g: F.when(F.size(g) == 1, F.array(v)).when(F.size(words(v)) == F.size(g), words(v)).otherwise(F.raise_error(F.concat(F.lit("a merged cell doesn't hold its fields: "), v)).cast("array<string>")))
+    named = rows.withColumn("_values", F.map_from_arrays(names, F.flatten(parts)))
+    return named.select(*[F.col("_values")[f].alias(f) for f in fields], F.element_at(F.split("file", "/"), -1).alias("source_file"), F.col("row").alias("source_row"))
+
+
+def _renamed(name: Column) -> Column:
+    for old, new in RENAMED.items():
+        name = F.when(name == old, new).otherwise(name)
+    return name
+
+
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
     """``df``, or a failure that names the columns it lacks."""
     lacks = sorted(set(columns) - set(df.columns))
@@ -94,13 +126,6 @@ def read_json(spark: SparkSession, path: str) -> dict:
     return json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
 
 
-def headers(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, columns) of every CSV file below a folder, columns in their order."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]").text(folder).select(F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    first = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
-    return first.select("file", F.split(F.regexp_replace("header", "^\\uFEFF|\\r$", ""), ",").alias("columns"))
-
-
 def unchanged(spark: SparkSession, path: str) -> tuple:
     """Sizes and times of the files at a path: equal before and after a run over the same data."""
     rows = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime").collect()

@@ -13,16 +13,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgrid.functions.scalar import is_empty_set, is_missing, to_number
+from flowgrid.functions.scalar import is_empty_set, is_missing, safe_divide, to_number
 from flowgrid.operators.encode import small
 from flowgrid.operators.ordering import order_report
 from flowgrid.operators.profile import find_label_column
 from flowgrid.schemas import MERGED_HEADERS
-from flowgrid.sources.records import read_records
+from flowgrid.sources.flows import GLOB
+from flowgrid.sources.records import checked_cells, only, read_records
 from flowgrid.sources.scratch import scratch_path, stable
 
-#: Files of a folder that count: those ending in .csv in any case.
-GLOB = "*.[cC][sS][vV]"
 #: Labels of one file that a task counts before it hands them on.
 LABELS_HELD = 100_000
 
@@ -46,8 +45,8 @@ def _cells_by_name(records: DataFrame) -> DataFrame:
     with the header have one row with ``wrong`` and no column."""
     words = lambda c: F.split(_strip(c), r"\s+")
     merged = lambda c: F.array_join(words(c), " ").isin([" ".join(n) for n in MERGED_HEADERS])
-    headers = records.filter("record = 0").select(F.col("file").alias("_file"), F.transform("cells", lambda c: F.when(merged(c), words(c)).otherwise(F.array(_strip(c)))).alias("groups"))
-    rows = records.filter("record > 0").join(small(headers), F.col("file") == F.col("_file"))
+    headers = only(records, F.col("record") == 0).select(F.col("file").alias("_file"), F.transform("cells", lambda c: F.when(merged(c), words(c)).otherwise(F.array(_strip(c)))).alias("groups"))
+    rows = only(records, F.col("record") > 0).join(small(headers), F.col("file") == F.col("_file"))
     parts = F.zip_with("cells", "groups", lambda v, g: F.when(F.size(g) > 1, words(v)).otherwise(F.array(_strip(v))))
     sound = (F.size("cells") == F.size("groups")) & F.forall(F.zip_with("parts", "groups", lambda v, g: F.size(v) == F.size(g)), lambda x: x)
     rows = rows.withColumn("parts", parts).withColumn("wrong", ~F.coalesce(sound, F.lit(False)))
@@ -118,6 +117,29 @@ def audit_files(spark: SparkSession, folder: str, limit: int | None = None, recu
     return Audit(files, columns, labels)
 
 
+def column_profiles(spark: SparkSession, folder: str, threshold: float = 0.999, recursive: bool = True, glob: str | None = GLOB) -> DataFrame:
+    """(schema, position, column, rows_seen, missing, numeric, not_numeric, non_finite, least, greatest,
+    numeric_fraction, likely_numeric): the cells of all files of one header together, in one scan. The
+    schema is the header's columns, joined by ``|``. Infinities are non-finite and no numbers."""
+    records = read_records(spark, folder, glob, recursive)
+    headers = only(records, F.col("record") == 0).select(F.col("file").alias("_file"), F.transform("cells", _strip).alias("names"))
+    rows = only(records, F.col("record") > 0).join(small(headers), F.col("file") == F.col("_file"))
+    each = rows.select(F.array_join("names", "|").alias("schema"), F.posexplode(F.arrays_zip(F.col("names").alias("column"), checked_cells(F.col("cells"), F.size("names")).alias("value"))).alias("position", "x")).select("schema", "position", "x.*")
+    gone, number = is_missing("value"), to_number("value")
+    infinite = F.coalesce(F.lower(_strip(F.col("value"))).rlike("^[+-]?inf(inity)?$"), F.lit(False))
+    found = each.groupBy("schema", "position", "column").agg(
+        F.count("*").alias("rows_seen"),
+        F.count_if(gone).alias("missing"),
+        F.count_if(~gone & number.isNotNull()).alias("numeric"),
+        F.count_if(~gone & number.isNull()).alias("not_numeric"),
+        F.count_if(infinite).alias("non_finite"),
+        F.min(F.when(~gone, number)).alias("least"),
+        F.max(F.when(~gone, number)).alias("greatest"),
+    )
+    share = safe_divide(F.col("numeric"), F.col("numeric") + F.col("not_numeric"))
+    return found.withColumns({"numeric_fraction": share, "likely_numeric": share >= threshold})
+
+
 @dataclass
 class _File:
     """A file as its lines come: its digest, and its records as far as they are whole."""

@@ -144,6 +144,12 @@ def first_record(spark: SparkSession, path: str) -> list[str]:
         n *= 4
 
 
-def checked_cells(cells: Column, n: int) -> Column:
+def only(records: DataFrame, wanted: Column) -> DataFrame:
+    """The wanted records. They are generated, not filtered: checks of their cells, which may fail, are
+    never tried on the others, wherever the optimiser puts them."""
+    return records.select("file", "record", "row", F.explode(F.when(wanted, F.array("cells"))).alias("cells"))
+
+
+def checked_cells(cells: Column, n: int | Column) -> Column:
     """``cells``, or a failure where there aren't ``n``."""
     return F.when(F.size(cells) == n, cells).otherwise(F.raise_error(F.concat(F.lit("a record has another number of cells: "), F.array_join(cells, ","))).cast("array<string>"))
