@@ -123,14 +123,15 @@ def shared_lines(hashes: DataFrame, batches: int, buckets: int | None = None, fa
     return reduce(DataFrame.unionByName, found).groupBy("h").agg(F.min("first_doc").alias("first_doc"))
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 4, keep_text: bool = True) -> DataFrame:
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 4, counts: bool = True) -> DataFrame:
     """Drop the lines of every whole text whose key stands in a document with a smaller id.
 
     Returns the columns of ``docs`` with ``text`` changed, and ``n_lines`` and ``n_dropped``
-    (columns of those names in ``docs`` are replaced). A null or empty text is one empty line; a
+    (columns of those names in ``docs`` are replaced; without ``counts`` all of ``docs`` stay as they
+    are, and no others come). A null or empty text is one empty line; a
     null text stays null. Rows of one doc_id are one document; a null doc_id comes after all others.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    names = [c for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
     hashes = line_hashes(docs, doc_id, text)
     ids = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"))
     cuts = ids.agg(F.percentile_approx("doc", F.array(*[F.lit(k / batches) for k in range(1, batches)]), 1000)).first()[0] or [] if batches > 1 else []
@@ -162,4 +163,4 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batc
                 yield pa.RecordBatch.from_arrays([small.column(0), pa.array(new, pa.string()), pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], names=schema.names)
 
     done = joined.mapInArrow(run, schema)
-    return done.select(*[F.col("_new").alias(c) if c == text else F.col("_row")[c].alias(c) for c in names], "n_lines", "n_dropped")
+    return done.select(*[F.col("_new").alias(c) if c == text else F.col("_row")[c].alias(c) for c in names], *(["n_lines", "n_dropped"] if counts else []))

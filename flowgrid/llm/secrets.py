@@ -1,8 +1,9 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Candidates are found in every whole text. Hashes of their values are counted over the corpus by
-distinct repositories and owners: what many owners hold is a widely copied example; what few hold
-and looks random is taken for a live credential.
+distinct repositories and owners: what several owners hold is a widely copied example; what one or
+two hold, in however many of their repositories and copies, and looks random, is taken for a live
+credential.
 """
 
 from __future__ import annotations
@@ -40,8 +41,6 @@ STAND_INS = ("example", "sample", "dummy", "changeme", "placeholder", "password"
 
 #: Owners from which a value counts as copied widely.
 MANY_OWNERS = 3
-#: Distinct repositories that make a value a widely copied example, whoever owns them.
-MANY_REPOS = 20
 LEAST_ENTROPY = 2.8
 
 
@@ -107,33 +106,35 @@ def scan_secrets(docs: DataFrame, keep: dict[str, Column], text: str = "text") -
     return given.mapInArrow(run, schema)
 
 
-def ownership(candidates: DataFrame, many_owners: int = MANY_OWNERS, many_repos: int = MANY_REPOS) -> DataFrame:
+def ownership(candidates: DataFrame, many_owners: int = MANY_OWNERS) -> DataFrame:
     """``value_hash`` with its distinct repositories and owners over the corpus, and whether so many
-    of either make it a widely copied example. One row for each (value, owner, repository) first, so
-    that a value which a third of all rows hold doesn't meet in one task."""
+    owners make it a widely copied example. An owner's own copies never do: a leaked key spreads over
+    its owner's repositories by itself. One row for each (value, owner, repository) first, so that a
+    value which a third of all rows hold doesn't meet in one task."""
     held = candidates.groupBy("value_hash", "_owner", "_repo").agg(F.lit(1).alias("_"))
     counted = held.groupBy("value_hash").agg(F.countDistinct("_owner").alias("n_owners"), F.countDistinct("_repo").alias("n_repos"))
-    return counted.withColumn("is_example", (F.col("n_owners") >= many_owners) | (F.col("n_repos") >= many_repos))
+    return counted.withColumn("is_example", F.col("n_owners") >= many_owners)
 
 
-def _verdicts(scan: DataFrame, many_owners: int, many_repos: int) -> DataFrame:
+def _verdicts(scan: DataFrame, many_owners: int) -> DataFrame:
     """One row per candidate of ``scan`` (columns ``_uid``, ``_owner``, ``_repo``)."""
     each = scan.select("_uid", "_owner", "_repo", F.explode("candidates").alias("c")).select("_uid", "_owner", "_repo", "c.*")
-    return each.drop("_owner", "_repo").join(materialise(ownership(each, many_owners, many_repos), "owners", reduced=True), "value_hash").withColumn("is_live", F.col("looks_live") & ~F.col("is_example"))
+    return each.drop("_owner", "_repo").join(materialise(ownership(each, many_owners), "owners", reduced=True), "value_hash").withColumn("is_live", F.col("looks_live") & ~F.col("is_example"))
 
 
-def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "doc_id", many_owners: int = MANY_OWNERS, many_repos: int = MANY_REPOS) -> DataFrame:
+def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "doc_id", many_owners: int = MANY_OWNERS) -> DataFrame:
     """Secrets of every whole text with the corpus's verdict on them.
 
     Returns doc_id, the base counts and digest, ``spans`` (base and added, kind:start:end),
     ``n_examples``, ``n_live``, ``live_spans``, and ``most_owners`` and ``most_repos``: the greatest
-    counts of distinct owners and repositories that hold one of its values. A null or empty text has no spans. A null owner
-    or repository isn't counted as one. Repeated rows are scanned each, but one owner counts once
+    counts of distinct owners and repositories that hold one of its values. Owners alone decide;
+    repositories are a report. A null or empty text has no spans. A null owner or repository isn't
+    counted as one, so a value without any owner is nobody's example. Repeated rows are scanned each, but one owner counts once
     for a value. An empty table gives no rows.
     """
     keep = {"doc_id": F.col(doc_id), "_owner": F.col(owner), "_repo": F.col(repo), "_uid": F.monotonically_increasing_id()}
     scan = materialise(scan_secrets(docs, keep, text), "secrets")
-    verdicts = _verdicts(scan.filter(F.size("candidates") > 0), many_owners, many_repos)
+    verdicts = _verdicts(scan.filter(F.size("candidates") > 0), many_owners)
     span = F.struct("start", F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).alias("o"), "end", "kind")
     live = verdicts.groupBy("_uid").agg(
         F.count_if("is_example").alias("n_examples"),
@@ -145,7 +146,7 @@ def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", own
     return scan.join(live, "_uid", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", F.coalesce("n_examples", F.lit(0)).alias("n_examples"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("live_spans", F.lit("")).alias("live_spans"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("most_owners", "most_repos")])
 
 
-def redact_secrets(docs: DataFrame, text: str = "text", owner: str = "source", repo: str = "doc_id", many_owners: int = MANY_OWNERS, many_repos: int = MANY_REPOS, mark: str = "[SECRET]") -> DataFrame:
+def redact_secrets(docs: DataFrame, text: str = "text", owner: str = "source", repo: str = "doc_id", many_owners: int = MANY_OWNERS, mark: str = "[SECRET]") -> DataFrame:
     """``docs``, with its columns, where every live secret is replaced by ``mark``.
 
     Verdicts depend on values alone, so spans are joined to texts by the texts' SHA-256 and equal
@@ -153,7 +154,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", owner: str = "source", r
     """
     keep = {"_key": F.sha2(F.col(text).cast("binary"), 256), "_owner": F.col(owner), "_repo": F.col(repo), "_uid": F.monotonically_increasing_id()}
     scan = materialise(scan_secrets(docs, keep, text).filter(F.size("candidates") > 0), "secrets")
-    live = _verdicts(scan, many_owners, many_repos).filter("is_live").groupBy("_uid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    live = _verdicts(scan, many_owners).filter("is_live").groupBy("_uid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
     by_text = scan.select("_uid", "_key").join(live, "_uid").groupBy(F.col("_key").alias("_live_key")).agg(F.min("_spans").alias("_spans"))
     names = docs.columns
     joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), keep["_key"].alias("_key")).join(by_text, F.col("_key") == F.col("_live_key"), "left")

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,7 +13,7 @@ from conftest import SF
 from oracle import duck, rows
 from pyspark.sql import functions as F
 
-from flowgrid.llm import components, kneser_ney, line_dedup, near_dedup, registry, shingles, substring_dedup, topk
+from flowgrid.llm import components, kneser_ney, line_dedup, near_dedup, registry, secrets, shingles, substring_dedup, topk
 
 
 def words(t):
@@ -384,10 +385,25 @@ def test_registry_oracles(spark):
         assert sorted(ours.columns) == sorted(theirs.columns) and rows(ours) == rows(theirs), name
 
 
+class Encoded:
+    """A text's ids by the library, then id 1."""
+
+    def __init__(self, path):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+
+    def __call__(self, text):
+        return [*self.library.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_pipeline(spark, documents, tmp_path):
     import corpus_pipeline
 
-    docs = documents.limit(120).withColumn("extra", F.lit("kept"))
+    # Columns that the operators' own results are named by.
+    docs = documents.limit(120).withColumns({"extra": F.lit("kept"), "n_lines": F.concat(F.lit("of "), "doc_id"), "n_dropped": F.lit(None).cast("double"), "class_id": -F.col("doc_id"), "_spans": F.lit("s")})
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
         out.write.parquet(f"{tmp_path}/{name}")
@@ -395,6 +411,8 @@ def test_pipeline(spark, documents, tmp_path):
         if name != "packing":
             assert out.columns == docs.columns
             assert out.filter(F.length("text") != F.col("n_chars")).isEmpty()
+            assert out.filter("n_lines != concat('of ', doc_id) or n_dropped is not null or class_id != -doc_id or _spans != 's'").isEmpty()
+            given = docs
         if name == "quality_rules":
             assert 0 < out.count() < docs.count()
         elif name == "line_dedup":
@@ -403,6 +421,34 @@ def test_pipeline(spark, documents, tmp_path):
         elif name == "near_dedup":
             classes = brute_classes({r["doc_id"]: r["text"] for r in docs.collect()})
             assert {r["doc_id"] for r in out.collect()} == {k for k, c in classes.items() if k == c}
+        elif name == "secret_scan":
+            owners = {}
+            for x in given.collect():
+                for *_, v in secrets.find(x["text"] or ""):
+                    owners.setdefault(v, set()).add(x["source"])
+            for x, y in zip(given.orderBy("doc_id").collect(), out.orderBy("doc_id").collect(), strict=True):
+                live = [(a, b) for a, b, _, v in secrets.find(x["text"] or "") if secrets.looks_live(v) and len(owners[v]) < secrets.MANY_OWNERS]
+                text, end = x["text"], len(x["text"] or "")
+                for a, b in sorted(live, reverse=True):
+                    if b <= end:
+                        text, end = text[:a] + "[SECRET]" + text[b:], a
+                assert y["text"] == text or len(live) > 1
+        else:
+            ids = Encoded(corpus_pipeline.TOKENIZER)
+            pieces = {}
+            for x in out.collect():
+                pieces.setdefault(x["doc_id"], []).append((x["start"], x["length"], x["ids_crc32"], x["doc_tokens"]))
+            for x in given.collect():
+                want, at = ids(x["text"] or ""), 0
+                for start, length, crc, tokens in sorted(pieces[x["doc_id"]]):
+                    assert (start, tokens, crc) == (at, len(want), zlib.crc32(np.array(want[at : at + length], "<u4").tobytes()))
+                    at += length
+                assert at == len(want)
+            full = {}
+            for x in out.collect():
+                full.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
+            for parts in full.values():
+                assert [o for o, _ in sorted(parts)] == [0, *np.cumsum([n for _, n in sorted(parts)])[:-1].tolist()] and sum(n for _, n in parts) <= 2048
         docs = out
     assert docs.agg(F.count_distinct("doc_id")).first()[0] == spark.read.parquet(f"{tmp_path}/secret_scan").count()
     empty = spark.read.parquet(f"{SF}/documents.parquet").filter("false")

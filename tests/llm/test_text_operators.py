@@ -1,6 +1,7 @@
 """Operators that judge texts one by one, against brute force and their awkward inputs."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -207,11 +208,33 @@ def test_secrets(spark):
     assert SECRET not in of[0] and of[0].startswith("[SECRET]") and of[2] == TEXTS[2] and of[6] is None
 
 
-def test_widely_copied_secrets(spark):
-    # One owner: a value of few repositories is its own, one of many repositories an example.
-    rows = [(k, f"password = {SECRET}", "one") for k in range(secrets.MANY_REPOS - 1)] * 2 + [(100 + k, "password = kX9vQ2mT7rL4wZ8p", "one") for k in range(secrets.MANY_REPOS)] + [(200, None, "one")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+@pytest.mark.parametrize("copies", [1, 19, 20, 200, 2000])
+def test_copies_of_one_owner_are_no_example(spark, copies):
+    rows = [(k, f"password = {SECRET}", "one") for k in range(copies)] + [(90_000 + k, "token: kX9vQ2mT7rL4wZ8p", f"owner{k}") for k in range(3)] + [(99_000, None, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
     got = secrets.secret_scan(docs).collect()
-    assert {(r["most_owners"], r["most_repos"], r["n_examples"], r["n_live"]) for r in got if r["doc_id"] < 100} == {(1, secrets.MANY_REPOS - 1, 0, 1)}
-    assert {(r["most_owners"], r["most_repos"], r["n_examples"], r["n_live"]) for r in got if 100 <= r["doc_id"] < 200} == {(1, secrets.MANY_REPOS, 1, 0)}
-    assert [(r["most_owners"], r["most_repos"]) for r in got if r["doc_id"] == 200] == [(0, 0)]
+    assert {(r["most_owners"], r["most_repos"], r["n_examples"], r["n_live"]) for r in got if r["doc_id"] < 90_000} == {(1, copies, 0, 1)}
+    assert {(r["most_owners"], r["most_repos"], r["n_examples"], r["n_live"]) for r in got if 90_000 <= r["doc_id"] < 99_000} == {(3, 3, 1, 0)}
+    assert [(r["most_owners"], r["most_repos"]) for r in got if r["doc_id"] == 99_000] == [(0, 0)]
+    texts = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(docs).collect()}
+    assert all(("[SECRET]" in t) == (k < 90_000) for k, t in texts.items() if t)
+
+
+def test_verdicts_by_brute_force(spark):
+    r = random.Random(3)
+    values = ["".join(r.choices("abcdefghkmnpqrstuvwxyzABCDEFGH23456789", k=24)) for _ in range(12)] + ["example_value_1", "000000000000", "aaaaaaaaaaaaaaaa"]
+    rows = []
+    for k in range(400):
+        held = [values[min(int(r.expovariate(0.2)), 14)] for _ in range(r.randint(0, 3))]
+        rows.append((k % 350, "\n".join(f"secret: {v}" for v in held), r.choice([None, "a", "b", "b", "b"] if "".join(held[:1]) in values[:6] else [*"abcdef", None])))
+    owners = {}
+    for _, t, o in rows:
+        for v in re.findall(r"secret: (\S+)", t):
+            owners.setdefault(v, set()).update([o] if o else [])
+    live = lambda v: secrets.looks_live(v) and len(owners[v]) < 3
+    want = sorted((k, sum(live(v) for v in re.findall(r"secret: (\S+)", t)), max([len(owners[v]) for v in re.findall(r"secret: (\S+)", t)], default=0)) for k, t, _ in rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    assert sorted((x["doc_id"], x["n_live"], x["most_owners"]) for x in secrets.secret_scan(docs).collect()) == want
+    clean = sorted((x["doc_id"], x["text"]) for x in secrets.redact_secrets(docs).collect())
+    # The mark takes the place of the whole assignment.
+    assert clean == sorted((k, "\n".join("[SECRET]" if live(v) else f"secret: {v}" for v in re.findall(r"secret: (\S+)", t))) for k, t, _ in rows)
