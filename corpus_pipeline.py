@@ -36,7 +36,7 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that a document with a smaller id holds go; documents stay, if need be empty."""
-    return _as_given(line_dedup(docs), docs)
+    return _as_given(line_dedup(docs, counts=False), docs)
 
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -90,10 +90,6 @@ def flat_name(name: str) -> str:
     return name.replace(".", "_")
 
 
-def padded(x: Column | str, width: int) -> Column:
-    return F.lpad(_c(x).cast("string"), width, "0")
-
-
 def ordered_key(seed: int | str, x: Column | str) -> Column:
     """A pseudo-random sort key that both engines agree on."""
     return F.sha2(F.concat(F.lit(f"{seed}:"), _c(x).cast("string")), 256)

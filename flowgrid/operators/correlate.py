@@ -128,7 +128,7 @@ def entry_filter(covariances: DataFrame, entries: list[str], variance_threshold:
     return spark.createDataFrame(out, "entry string, variance double, decision string, redundant_with string")
 
 
-def apply_filter(correlations: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Entries that aren't retained become 0."""
-    gone = [r["entry"] for r in decisions.filter("decision <> 'retained'").collect()]
-    return correlations.withColumns({e: F.lit(0.0) for e in gone})
+def filtered_matrix(corr: Column | str, n: int, gone: set[tuple[int, int]]) -> Column:
+    """A square matrix, row by row, in which the entries ``gone`` (i < j), and their mirrors, are 0."""
+    corr = F.col(corr) if isinstance(corr, str) else corr
+    return F.array(*[F.lit(0.0).cast("float") if (min(i, j), max(i, j)) in gone else corr[i * n + j] for i in range(n) for j in range(n)])

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowgrid.functions.scalar import min_max
-from flowgrid.operators.ordering import ordered_index, quantiles
+from flowgrid.operators.ordering import ordered_index, quantiles_of_counts
 from flowgrid.schemas import MISSING_CODE, UNKNOWN_CODE
+from flowgrid.sources.scratch import stable
 
 #: Rows of a dictionary up to which it is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -56,12 +57,18 @@ def fit_category(df: DataFrame, column: str, fit_filter: Column) -> FittedCatego
 
 
 def fit_medians(df: DataFrame, columns: list[str], fit_filter: Column) -> DataFrame:
-    """(feature, median, training_missing, all_missing): exact medians of the rows to fit on."""
+    """(feature, median, training_missing, all_missing): exact medians of the rows to fit on.
+
+    One scan counts each feature's values, nulls among them; medians and missing counts follow from
+    the counts.
+    """
     rows = df.filter(fit_filter).select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
-    missing = df.filter(fit_filter).agg(*[F.count_if(F.col(f"`{c}`").cast("double").isNull()).alias(f"x_{k}") for k, c in enumerate(columns)])
-    missing = missing.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"x_{k}").alias("training_missing")) for k, c in enumerate(columns)])).alias("x")).select("x.*")
-    medians = quantiles(rows, "feature", "v", (0.5,)).select("feature", F.col("q")[0].alias("median"))
-    return missing.join(medians, "feature", "left").select("feature", F.coalesce("median", F.lit(0.0)).alias("median"), "training_missing", F.col("median").isNull().alias("all_missing"))
+    counted = stable(rows.groupBy("feature", "v").agg(F.count("*").alias("_n")))
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    missing = counted.filter("v is null").select("feature", F.col("_n").alias("training_missing"))
+    medians = quantiles_of_counts(counted.filter("v is not null"), "feature", "v", (0.5,)).select("feature", F.col("q")[0].alias("median"))
+    found = every.join(missing, "feature", "left").join(medians, "feature", "left")
+    return found.select("feature", F.coalesce("median", F.lit(0.0)).alias("median"), F.coalesce("training_missing", F.lit(0)).alias("training_missing"), F.col("median").isNull().alias("all_missing"))
 
 
 def impute(df: DataFrame, medians: DataFrame) -> DataFrame:
@@ -90,10 +97,3 @@ def out_of_range(normalised: DataFrame, columns: list[str], by: str, slack: floa
 
 def unknown_counts(df: DataFrame, code: str, by: str) -> DataFrame:
     return df.groupBy(by).agg(F.count_if(F.col(code) == UNKNOWN_CODE).alias("unknown"), F.count_if(F.col(code) == MISSING_CODE).alias("missing"), F.count("*").alias("rows"))
-
-
-def cardinality_guard(df: DataFrame, columns: list[str], most: float = 0.5) -> DataFrame:
-    """(feature, share): categories that are so often unique that codes would only number rows."""
-    wide = df.agg(F.count("*").alias("_n"), *[F.approx_count_distinct(f"`{c}`").alias(f"d_{k}") for k, c in enumerate(columns)])
-    rows = F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(f"d_{k}") / F.col("_n")).alias("share")) for k, c in enumerate(columns)])
-    return wide.select(F.explode(rows).alias("x")).select("x.*").filter(F.col("share") > most)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,15 +20,19 @@ def _ranged(df: DataFrame, keys: list[Column | str]) -> DataFrame:
     return stable(ranged.withColumns({"_part": F.shiftright("_id", 33).cast("int"), "_at": F.col("_id").bitwiseAND(F.lit(_LOW))}).drop("_id"))
 
 
-def _offsets(sums: list[tuple], columns: int) -> Column:
-    """Array of what stands before each range, by its number; as long as there are ranges."""
-    totals = {r[0]: r[1:] for r in sums}
-    parts = max(totals, default=-1) + 1
-    kinds = []
-    for k in range(columns):
-        before = list(accumulate((totals.get(p, (0,) * columns)[k] or 0 for p in range(parts)), initial=0))
-        kinds.append(F.array(*[F.lit(v) for v in before[:parts]] or [F.lit(0)]))
-    return kinds
+def _with_offsets(ranged: DataFrame, sums: list[tuple], names: list[str]) -> DataFrame:
+    """``ranged`` with, under each name, what the ranges before a row's own add up to: a row a range is
+    broadcast, so plans don't grow with the ranges. ``sums`` has (number, sums...) of each range."""
+    rows, before = [], [0] * len(names)
+    for part, *own in sorted(sums):
+        rows.append((part, *before))
+        before = [b + (v or 0) for b, v in zip(before, own, strict=True)]
+    kinds = ["double" if isinstance(b, float) else "decimal(38,6)" if isinstance(b, Decimal) else "long" for b in before]
+    schema = ", ".join(["_of int", *[f"{n} {k}" for n, k in zip(names, kinds, strict=True)]])
+    cast = {"double": float, "long": int, "decimal(38,6)": Decimal}
+    rows = [(p, *[cast[k](v) for k, v in zip(kinds, values, strict=True)]) for p, *values in rows]
+    offsets = ranged.sparkSession.createDataFrame(rows, schema)
+    return ranged.join(F.broadcast(offsets), F.col("_part") == F.col("_of")).drop("_of")
 
 
 def ordered_index(df: DataFrame, keys: list[Column | str], name: str = "row_idx") -> tuple[DataFrame, int]:
@@ -38,18 +42,18 @@ def ordered_index(df: DataFrame, keys: list[Column | str], name: str = "row_idx"
     """
     ranged = _ranged(df, keys)
     counts = [(r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect()]
-    (before,) = _offsets(counts, 1)
-    return ranged.withColumn(name, F.col("_at") + before[F.col("_part")].cast("long")).drop("_part", "_at"), sum(c for _, c in counts)
+    placed = _with_offsets(ranged, counts, ["_before"])
+    return placed.withColumn("_index", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before").withColumnRenamed("_index", name), sum(c for _, c in counts)
 
 
 def running_sums(df: DataFrame, keys: list[Column | str], columns: dict[str, str]) -> DataFrame:
     """``df`` with, for each new name, the sum of a column over all rows up to this one."""
     ranged = _ranged(df, keys)
     sums = [tuple(r) for r in ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_s{k}") for k, c in enumerate(columns.values())]).collect()]
-    before = _offsets(sums, len(columns))
+    names = [f"_b{k}" for k in range(len(columns))]
     upto = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    added = {new: F.sum(c).over(upto) + b[F.col("_part")] for (new, c), b in zip(columns.items(), before, strict=True)}
-    return ranged.withColumns(added).drop("_part", "_at")
+    added = {new: F.sum(c).over(upto) + F.col(b) for (new, c), b in zip(columns.items(), names, strict=True)}
+    return _with_offsets(ranged, sums, names).withColumns(added).drop("_part", "_at", *names)
 
 
 def stratified_index(df: DataFrame, stratum: str, keys: list[Column | str], name: str = "position") -> DataFrame:
@@ -61,12 +65,16 @@ def stratified_index(df: DataFrame, stratum: str, keys: list[Column | str], name
 
 
 def quantiles(df: DataFrame, group: str, value: str, at: tuple[float, ...]) -> DataFrame:
-    """(group, distinct_values, q): exact, linearly interpolated quantiles of each group's values.
+    """(group, distinct_values, q): exact, linearly interpolated quantiles of each group's values."""
+    return quantiles_of_counts(df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n")), group, value, at)
 
-    Values are counted first and their counts summed in order over ranges, so neither a group nor its
-    distinct values meet in one task. Groups are few: they are broadcast up to 10,000 rows.
+
+def quantiles_of_counts(counted: DataFrame, group: str, value: str, at: tuple[float, ...]) -> DataFrame:
+    """The same from rows (group, value, _n).
+
+    Counts are summed in order over ranges, so neither a group nor its distinct values meet in one
+    task. Groups are few: they are broadcast up to 10,000 rows.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n"))
     summed = running_sums(counted, [group, value], {"_upto": "_n"})
     sizes = summed.groupBy(group).agg(F.min(F.col("_upto") - F.col("_n")).alias("_start"), F.sum("_n").alias("_size"), F.count("*").alias("distinct_values"))
     places = sizes.select(F.col(group).alias("_group"), "_start", "distinct_values", "_size", F.posexplode(F.array(*[F.lit(float(a)) for a in at])).alias("_k", "_a"))

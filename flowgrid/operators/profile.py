@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from flowgrid.functions.scalar import clean, finite, is_empty_set, is_missing, safe_divide, to_number
 from flowgrid.schemas import BENIGN_TOKENS, LABEL_CANDIDATES
@@ -35,11 +36,18 @@ def _unpivot(aggregated: DataFrame, columns: list[str], measures: list[str]) ->
     return aggregated.select(F.explode(F.array(*[one(k, c) for k, c in enumerate(columns)])).alias("x")).select("x.*")
 
 
+def _is_number(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, NumericType)
+
+
 def missing_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Missing markers, empty-set markers and constancy of text columns, in one pass."""
     aggs = []
     for k, c in enumerate(columns):
         q = F.col(f"`{c}`")
+        if _is_number(df, c):  # numbers aren't spelt out to look for markers
+            aggs += [F.count_if(q.isNull() | F.isnan(q.cast("double"))).alias(f"missing_{k}"), F.lit(0).cast("long").alias(f"empty_sets_{k}"), F.coalesce(F.min(q) == F.max(q), F.lit(True)).alias(f"constant_{k}")]
+            continue
         aggs += [F.count_if(is_missing(q)).alias(f"missing_{k}"), F.count_if(is_empty_set(q)).alias(f"empty_sets_{k}"), F.coalesce(F.min(q) == F.max(q), F.lit(True)).alias(f"constant_{k}")]
     return _unpivot(df.agg(*aggs), columns, ["missing", "empty_sets", "constant"])
 
@@ -53,8 +61,13 @@ def column_profile(df: DataFrame, columns: list[str], threshold: float = 0.999)
     """Rows, missing, numeric and non-numeric values, range and likely type of each column."""
     aggs = []
     for k, c in enumerate(columns):
-        text = F.col(f"`{c}`").cast("string")
-        gone, number = is_missing(text), to_number(text)
+        if _is_number(df, c):
+            number = F.col(f"`{c}`").cast("double")
+            gone = number.isNull() | F.isnan(number)
+            number = F.when(finite(number), number)
+        else:
+            text = F.col(f"`{c}`").cast("string")
+            gone, number = is_missing(text), to_number(text)
         aggs += [
             F.count("*").alias(f"rows_seen_{k}"),
             F.count_if(gone).alias(f"missing_{k}"),

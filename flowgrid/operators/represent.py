@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowgrid.functions.scalar import band
+from flowgrid.sources.scratch import stable
 
 BANDS = 21
 SIDE = 224
@@ -117,21 +118,25 @@ def model_input(image: bytes) -> np.ndarray:
     return pixels_of(image).transpose(2, 0, 1).astype(np.float32) / 255.0
 
 
-def render(items: DataFrame, key: str, corr: str = "corr") -> DataFrame:
-    """(key, png, png_sha256) of each item's square matrix (array<float>, row by row).
-
-    Equal matrices are rendered once: the distinct ones go to Python and are joined back.
-    """
-    keyed = items.withColumn("_digest", F.sha2(F.concat_ws(",", F.transform(corr, lambda x: F.round(x.cast("double"), 6).cast("string"))), 256))
-    distinct = keyed.groupBy("_digest").agg(F.first(corr).alias("corr"))
+def render_distinct(items: DataFrame, key: str, corr: str = "corr") -> tuple[DataFrame, DataFrame]:
+    """(key, digest) of each item's square matrix (array<float>, row by row), and (digest, png,
+    png_sha256) of each distinct matrix, rendered once. Digests are written once; both read them."""
+    keyed = stable(items.select(key, F.sha2(F.array_join(F.transform(corr, lambda x: F.round(x.cast("double"), 6).cast("string")), ","), 256).alias("digest"), F.col(corr).alias("_corr")))
+    distinct = keyed.groupBy("digest").agg(F.first("_corr").alias("corr"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             side = lambda v: int(len(v) ** 0.5)
-            yield pd.DataFrame({"_digest": part["_digest"], "png": [png(raster(np.asarray(v, np.float64).reshape(side(v), side(v)))) for v in part["corr"]]})
+            yield pd.DataFrame({"digest": part["digest"], "png": [png(raster(np.asarray(v, np.float64).reshape(side(v), side(v)))) for v in part["corr"]]})
 
-    images = distinct.mapInPandas(run, "_digest string, png binary")
-    return keyed.select(key, "_digest").join(images, "_digest").select(key, "png", F.sha2("png", 256).alias("png_sha256"))
+    images = distinct.mapInPandas(run, "digest string, png binary").withColumn("png_sha256", F.sha2("png", 256))
+    return keyed.select(key, "digest"), images
+
+
+def render(items: DataFrame, key: str, corr: str = "corr") -> DataFrame:
+    """(key, png, png_sha256) of each item's matrix; equal matrices are rendered once."""
+    names, images = render_distinct(items, key, corr)
+    return names.join(images, "digest").select(key, "png", "png_sha256")
 
 
 def image_index(images: DataFrame, items: DataFrame, key: str = "window_id", shard: int = 1000) -> DataFrame:

@@ -209,8 +209,8 @@ def correlate_stage(spark: SparkSession, folder: str, ranking: str, out: str, va
     decisions = correlate.entry_filter(correlate.entry_covariance(wide.filter(F.col("split") == "train"), entries), entries, variance_threshold, redundancy_threshold)
     counts = {d: F.col("decision") == d for d in ("retained", "low_variance", "redundant")}
     sinks.write_stage(decisions, f"{out}/entries", {"stage": "entries", **configuration}, proof=Proof(counts=counts))
-    gone = {r["entry"] for r in _in(spark, f"{out}/entries").filter("decision <> 'retained'").collect()}
-    zero = F.array(*[F.lit(0.0).cast("float") if f"e_{min(i, j)}_{max(i, j)}" in gone else F.col("corr")[i * k + j] for i in range(k) for j in range(k)])
+    gone = {tuple(map(int, r["entry"].split("_")[1:])) for r in _in(spark, f"{out}/entries").filter("decision <> 'retained'").collect()}
+    zero = correlate.filtered_matrix("corr", k, gone)
     varying = F.size(F.filter("active", lambda x: x))
     filtered = wide.select("window_id", "split", zero.alias("corr"), "active", varying.alias("varying_features"))
     matrices = sinks.write_stage(filtered, f"{out}/matrices", {"stage": "matrices", **configuration}, proof=Proof(keys=("window_id", "split"), counts={"low_activity": F.col("varying_features") < 2}))
