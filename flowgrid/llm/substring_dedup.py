@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -438,6 +438,78 @@ def _compared(meets: DataFrame, docs: DataFrame, doc_id: str, text: str, passage
     return passages
 
 
+def _open_windows(shared: DataFrame, found: DataFrame, passage: int) -> DataFrame:
+    """(doc, spans): the windows, as (l, r) in places of shingles, of the keys under which some window
+    isn't wholly part of a passage verified with its lead. What such documents share among themselves
+    can be more than what each shares with the lead."""
+    pairs = found.groupBy("a", "b").agg(F.collect_list(F.struct("a_start", "a_words", "b_start", "b_words")).alias("passages"))
+    swap = F.col("doc") > F.col("lead")
+    rows = shared.withColumns({"a": F.least("doc", "lead"), "b": F.greatest("doc", "lead"), "l": F.shiftright("place", 30), "r": F.shiftright("place", 30) + F.shiftright("place", 4).bitwiseAND(F.lit(_SPAN))})
+    inside = lambda p: F.when(swap, (p["b_start"] <= F.col("l")) & (p["b_start"] + p["b_words"] - WORDS >= F.col("r"))).otherwise((p["a_start"] <= F.col("l")) & (p["a_start"] + p["a_words"] - WORDS >= F.col("r")))
+    judged = rows.join(pairs, ["a", "b"], "left").select("key", "doc", "l", "r", F.coalesce(F.exists("passages", inside), F.lit(False)).alias("covered"))
+    judged = materialise(judged, "judged")
+    open_keys = materialise(judged.filter(~F.col("covered")).select("key").distinct(), "open", reduced=True)
+    spans = materialise(judged.join(open_keys, "key", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("l", "r")).alias("spans")), "spans", reduced=True)
+    discard(judged, open_keys)
+    return spans
+
+
+def _run_hashes(stream: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of every run of ``size`` shingles; equal runs have equal ones wherever they stand."""
+    n = len(stream) - size + 1
+    out = np.zeros(max(0, n), np.uint64)
+    for k in range(size if n > 0 else 0):
+        out = out * _RUN + stream[k : k + n]
+    return mix(out)
+
+
+_RUN = np.uint64(0xD1342543DE82EF95)
+
+
+def _exact_passages(docs: DataFrame, doc_id: str, text: str, spans: DataFrame, passage: int) -> DataFrame:
+    """Passages of ``passage`` words or more that documents share exactly within the windows of
+    ``spans``, verified by their words' hashes: (a, a_start, a_words, b, b_start, b_words, similarity).
+
+    Two documents that share a run of so many words hold some key whose minimum lies in it, and their
+    windows under that key hold the whole run. So all such runs inside the windows are compared, by
+    value: each with the least document that holds it, without pairs of the others. Neighbouring
+    runs of one pair are one passage.
+    """
+    size = passage - WORDS + 1
+    given = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    out = T.StructType([T.StructField(k, T.LongType()) for k in ("run", "doc", "p")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for small in slices(batch, 64):
+                columns: list[list[np.ndarray]] = [[], [], []]
+                for doc, t, places in zip(small.column(0).to_pylist(), small.column(1), small.column(2).to_pylist(), strict=True):
+                    stream = shingle_stream(word_hashes(t.as_py() or ""))
+                    ends = -1
+                    for l, r in sorted((p["l"], p["r"]) for p in places):
+                        # Overlapping windows repeat runs; each start is looked at once.
+                        first = max(l, ends)
+                        found = _run_hashes(stream[first : r + 1], size)
+                        ends = max(ends, first + len(found))
+                        if len(found):
+                            columns[0].append(found.view(np.int64))
+                            columns[1].append(np.full(len(found), doc))
+                            columns[2].append(np.arange(first, first + len(found)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in columns], names=out.names)
+
+    runs = materialise(only_with(given, "doc", spans).join(spans, "doc").select("doc", "text", "spans").mapInArrow(run, out), "runs")
+    held = runs.groupBy("run").agg(F.min(F.struct("doc", "p")).alias("lead"), F.max("doc").alias("hi")).filter(F.col("lead.doc") < F.col("hi")).select("run", "lead")
+    held = materialise(held, "held", reduced=True)
+    met = runs.join(held, "run").filter(F.col("doc") != F.col("lead.doc")).select(F.col("lead.doc").alias("a"), F.col("lead.p").alias("pa"), F.col("doc").alias("b"), F.col("p").alias("pb"), (F.col("p") - F.col("lead.p")).alias("shift"))
+    # Along one shift, places that follow each other differ from their rank by the same number.
+    chain = F.col("pa") - F.row_number().over(Window.partitionBy("a", "b", "shift").orderBy("pa"))
+    ends = met.withColumn("chain", chain).groupBy("a", "b", "shift", "chain").agg(F.min("pa").alias("pa"), F.count("*").alias("n"))
+    words = (F.col("n") + passage - 1).alias
+    passages = materialise(ends.select("a", F.col("pa").alias("a_start"), words("a_words"), "b", (F.col("pa") + F.col("shift")).alias("b_start"), words("b_words"), F.lit(1.0).alias("similarity")), "exact", reduced=True)
+    discard(runs, held)
+    return passages
+
+
 def _between_classes(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """Meetings of the classes of documents that a key's windows are of: the least document of each
     class with that of every other one."""
@@ -459,7 +531,9 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     number of partners that were verified, and class_id, the least document that is linked to this
     one by any passages. A window meets the least document of its key; then, key by key, the classes
     that are still apart meet by their least documents. So a passage that many documents share names
-    them all without all their pairs. Null and short texts have no passages; rows without an id take
+    them all without all their pairs. Exact repeats are complete: wherever a window isn't wholly part of
+    a passage verified with its key's least document, all runs of ``passage`` words in it are compared
+    by value with those of the key's other documents, whatever their classes are. Null and short texts have no passages; rows without an id take
     no part; rows that share an id are one document. An empty table gives no rows.
     """
     shared = materialise(_shared(windows_of(docs, doc_id, text, hashes, passage)), "shared")
@@ -469,8 +543,10 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     found = _compared(meets, docs, doc_id, text, passage, threshold, enough)
     classes = connected_components(found)
     more = _compared(_between_classes(shared, classes), docs, doc_id, text, passage, threshold, enough)
-    found = materialise(found.unionByName(more).distinct(), "passages")
-    discard(shared, classes, more)
+    spans = _open_windows(shared, found, passage)
+    exact = _exact_passages(docs, doc_id, text, spans, passage)
+    found = materialise(found.unionByName(more).unionByName(exact).distinct(), "passages")
+    discard(shared, classes, more, spans, exact)
     classes = connected_components(found).select(F.col("node").alias("doc_id"), F.col("component").alias("class_id"))
     names = ("doc_id", "start_word", "n_words", "other_doc_id", "other_start_word", "other_n_words")
     sides = [found.select(*[F.col(c).alias(n) for c, n in zip(cs, names, strict=True)], "similarity") for cs in (("a", "a_start", "a_words", "b", "b_start", "b_words"), ("b", "b_start", "b_words", "a", "a_start", "a_words"))]

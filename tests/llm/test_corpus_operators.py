@@ -378,6 +378,66 @@ def test_probabilities_sum_to_one(spark):
     assert total == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize(("common", "own"), [(49, 4), (45, 8), (40, 20)])
+@pytest.mark.parametrize("linked", [True, False])
+def test_exact_passages_behind_a_common_line(spark, common, own, linked):
+    """Groups of six documents that all begin with one line; two of them share more words after it.
+    ``linked``: all are one class already, by another passage."""
+    r = random.Random(common)
+    rows, planted = [], []
+    for g in range(60):
+        line, after, link = prose(r, common), prose(r, own), prose(r, 70)
+        two = sorted(r.sample(range(1, 6), 2))
+        for k in range(6):
+            body = [line, after if k in two else prose(r, own), prose(r, 30 + r.randrange(60))]
+            rows.append((10 * g + k, " ".join([prose(r, 20), *body, *([link] if linked else []), prose(r, 20)])))
+        planted.append((g, two, (line + " " + after).split()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = defaultdict(list)
+    for x in substring_dedup.repeated_passages(docs).collect():
+        got[x["doc_id"]].append((x["start_word"], x["start_word"] + x["n_words"]))
+    texts = dict(rows)
+    whole = 0
+    for g, two, passage in planted:
+        here = True
+        for k in two:
+            w = words(texts[10 * g + k])
+            at = next(i for i in range(len(w)) if w[i : i + len(passage)] == passage)
+            here = here and all(any(a <= i < b for a, b in got[10 * g + k]) for i in range(at, at + len(passage)))
+        whole += here
+    assert whole == 60
+
+
+def test_exact_passages_by_brute_force(spark):
+    """Licence lines of all lengths, passages and families mixed: every word of every run of 50 words
+    that two documents share is in some passage, and passages are no more alike than they say."""
+    r = random.Random(21)
+    lines, passages = [prose(r, n) for n in (14, 30, 48, 49, 60)], [prose(r, n) for n in (50, 53, 80)]
+    rows = []
+    for k in range(160):
+        parts = [prose(r, r.randint(0, 40)) for _ in range(4)]
+        for x in r.sample(lines, r.randint(0, 3)) + r.sample(passages, int(r.random() < 0.3)):
+            parts.insert(r.randint(0, len(parts)), x)
+        rows.append((k, " ".join(parts)))
+    rows += [(500 + k, rows[k % 4][1] + " " + prose(r, 3)) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    covered = defaultdict(set)
+    for x in substring_dedup.repeated_passages(docs).collect():
+        covered[x["doc_id"]].update(range(x["start_word"], x["start_word"] + x["n_words"]))
+    holders = defaultdict(list)
+    for k, t in rows:
+        w = words(t)
+        for i in range(len(w) - 49):
+            holders[tuple(w[i : i + 50])].append((k, i))
+    n = 0
+    for places in holders.values():
+        if len({k for k, _ in places}) > 1:
+            for k, i in places:
+                n += 1
+                assert set(range(i, i + 50)) <= covered[k], (k, i)
+    assert n > 1000
+
+
 def test_registry_oracles(spark):
     c = duck(SF)
     for name, sql in registry.oracle_sql().items():
