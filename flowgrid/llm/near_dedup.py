@@ -32,6 +32,9 @@ from flowgrid.llm.shingles import WORDS, mix, similarity, weighted_shingles
 BANDS = 32
 ROWS = 6
 THRESHOLD = 0.8
+#: Bits of a band's key. With 32 keys a document, a document's bucket holds 0.001 strangers by chance at
+#: 10 ** 10 documents.
+KEY_BITS = 48
 #: Mean pivots of a bucket of more than ``LARGE`` texts, in the round before classes that still share
 #: a bucket meet in full. Smaller buckets need none; the result is the same.
 PIVOTS = 4
@@ -70,12 +73,12 @@ def prob_min_hash(shingles: np.ndarray, weights: np.ndarray, registers: int = BA
 
 
 def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    """One 64-bit key for each band of a signature."""
+    """One key of KEY_BITS for each band of a signature."""
     parts = signature.reshape(bands, -1)
     keys = np.arange(1, bands + 1, dtype=np.uint64)
     for k in range(parts.shape[1]):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + parts[:, k])
-    return keys.view(np.int64)
+    return (keys >> np.uint64(64 - KEY_BITS)).view(np.int64)
 
 
 def sketch(shingles: np.ndarray, weights: np.ndarray, bits: int = SKETCH) -> np.ndarray:
@@ -109,7 +112,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     h, w = weighted_shingles(t.as_py() or "")
                     if len(h):
                         nodes.append(hashlib.blake2b(h.tobytes() + w.tobytes(), digest_size=16).digest())
-                        bands.append(band_keys(prob_min_hash(h, w)).astype(np.int32))
+                        bands.append(band_keys(prob_min_hash(h, w)))
                     else:
                         nodes.append(None)
                         bands.append(None)
@@ -156,7 +159,7 @@ def _close_pairs(left: DataFrame, right: DataFrame, sketches: DataFrame, thresho
     most = most_differing(threshold)
     weights = "plain_p is null and plain_m is null"
     near = f"{differ.format('weighted_p', 'weighted_m')} <= {most} or (not ({weights}) and {differ.format('coalesce(plain_p, weighted_p)', 'coalesce(plain_m, weighted_m)')} <= {most})"
-    first = "array_position(zip_with(bands_p, bands_m, (x, y) -> x = y), true) = array_position(bands_p, cast(shiftright(shiftleft(key, 32), 32) as int))"
+    first = "array_position(zip_with(bands_p, bands_m, (x, y) -> x = y), true) = array_position(bands_p, key)"
     once = "(of_m = main_m or node_p < node_m)" if each_once else "true"
     met = sides[0].join(sides[1], "key").filter(f"of_p != of_m and {once} and ({near}) and {first}")
     return met.select(F.least("node_p", "node_m").alias("a"), F.greatest("node_p", "node_m").alias("b"))
@@ -224,8 +227,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def _texts_of(one: DataFrame, given: DataFrame) -> DataFrame:
     """(node, text, bands, weighted, plain) for nodes named by a doc_id; of rows that share an id, the
-    one with the node. Texts are compressed, since they move several times. With 32 bits of each band's key, and sketches of the weighted shingles and,
-    where weights differ, of their set."""
+    one with the node. Texts are compressed, since they move several times. With each band's key, and
+    sketches of the weighted shingles and, where weights differ, of their set."""
     plain = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("text", T.StringType())])
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +238,7 @@ def _texts_of(one: DataFrame, given: DataFrame) -> DataFrame:
 
     nameless = given.filter("doc_id is null").select("text").mapInArrow(named, plain).join(one.filter("doc_id is null").select("node"), "node")
     joined = only_with(given, "doc_id", one).join(one, "doc_id").select("node", "text").unionByName(nameless)
-    lists = {"bands": (T.IntegerType(), pa.int32()), "weighted": (T.LongType(), pa.int64()), "plain": (T.LongType(), pa.int64())}
+    lists = {"bands": (T.LongType(), pa.int64()), "weighted": (T.LongType(), pa.int64()), "plain": (T.LongType(), pa.int64())}
     schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("text", T.BinaryType()), *[T.StructField(c, T.ArrayType(t)) for c, (t, _) in lists.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +251,7 @@ def _texts_of(one: DataFrame, given: DataFrame) -> DataFrame:
                     if right[-1]:
                         packed.append(zlib.compress(t.as_py().encode(), 1))
                         plain = None if w.max() == 1 else sketch(h, np.ones(len(w), np.int64))
-                        facts.append((band_keys(prob_min_hash(h, w)).astype(np.int32), sketch(h, w), plain))
+                        facts.append((band_keys(prob_min_hash(h, w)), sketch(h, w), plain))
                 nodes = small.column(0).filter(pa.array(right, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([nodes, pa.array(packed, pa.binary()), *[pa.array([f[k] for f in facts], pa.list_(t)) for k, (_, t) in enumerate(lists.values())]], names=schema.names)
 
