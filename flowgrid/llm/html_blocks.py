@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 # Elements that don't break a block, that have no content, that hold no page text,
@@ -41,6 +42,7 @@ def leaf_blocks(page: str) -> tuple[str, list[Block]]:
     """
     blocks: list[Block] = []
     stack: list[tuple[str, str]] = []
+    opened: Counter[str] = Counter()  # of the stack's tags, so that only what is open is looked for
     parts: list[str] = []
     links = unseen = in_link = 0
     where: tuple[str, ...] | None = None
@@ -60,6 +62,7 @@ def leaf_blocks(page: str) -> tuple[str, list[Block]]:
         for tag, _ in stack[n:]:
             unseen -= tag in UNSEEN
             in_link -= tag == "a"
+            opened[tag] -= 1
         del stack[n:]
 
     def say(text: str) -> None:
@@ -82,16 +85,17 @@ def leaf_blocks(page: str) -> tuple[str, list[Block]]:
         closing, attributes = m[1] or m[4], m[3] if m[2] else m[6]
         if closing:
             if tag in INLINE:
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                     if stack[k][0] == tag:
                         in_link -= tag == "a"
+                        opened[tag] -= 1
                         del stack[k]
                         break
                     if stack[k][0] not in INLINE and tag == "a":
                         continue
                 continue
             flush()
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[k][0] == tag:
                     pop(k)
                     break
@@ -111,10 +115,9 @@ def leaf_blocks(page: str) -> tuple[str, list[Block]]:
             continue
         if tag not in INLINE:
             flush()
-            tags = [t for t, _ in stack]
-            if "p" in tags:
-                pop(len(tags) - 1 - tags[::-1].index("p"))
-            if tag in ENDS_ITSELF:
+            if opened["p"]:
+                pop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"))
+            if tag in ENDS_ITSELF and any(opened[t] for t in GROUP.get(tag, {tag})):
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in ENDS_ITSELF[tag]:
                         break
@@ -124,6 +127,7 @@ def leaf_blocks(page: str) -> tuple[str, list[Block]]:
         if attributes.endswith("/") and tag not in INLINE and tag in UNSEEN:
             continue
         stack.append((tag, _signature(tag, attributes) if tag not in INLINE else tag))
+        opened[tag] += 1
         unseen += tag in UNSEEN
         in_link += tag == "a"
     say(page[at:])

@@ -17,7 +17,7 @@ from flowgrid.llm.html_blocks import Block, leaf_blocks
 from flowgrid.llm.html_pages import labelled_pages
 
 #: Labelled pages and passes over them: they bound the training.
-PAGES = 600
+PAGES = 1000
 PASSES = 8
 
 # Words that mark parts other than the main text.
@@ -44,16 +44,21 @@ def path_features(path: tuple[str, ...]) -> list[str]:
 
 def text_features(block: Block, title: str, place: int, last: int) -> list[str]:
     text = block.text
-    low = text.lower() if len(text) < 400 else ""
-    words = text.count(" ") + 1
-    out = ["bias", f"words:{_bucket(words, (2, 4, 8, 16, 32, 64))}", f"links:{_bucket(block.link_chars / len(text), (0.01, 0.3, 0.7))}", f"stop:{text[-1] in '.!?…\"”»'}"]
+    low, words = text.lower(), text.count(" ") + 1
+    out = ["bias", f"words:{_bucket(words, (2, 4, 8, 16, 32, 64, 128))}", f"links:{_bucket(block.link_chars / len(text), (0.01, 0.3, 0.7))}", f"stop:{text[-1] in '.!?…\"”»'}"]
     if place == 0:
         out.append("first")
     if place == last:
         out.append("end")
     if title and len(text) >= 4 and (title.startswith(text) or text.startswith(title)):
         out.append("title")
-    out += [f"sign:{k}" for k, signs in _SIGNS.items() if low and any(s in low for s in signs)]
+    for k, signs in _SIGNS.items():
+        if hits := sum(low.count(s) for s in signs):
+            # By how much of the text they are: an article may speak of cookies, a notice hardly of else.
+            share = 100 * hits / words
+            out.append(f"sign:{k}" if share >= 2 else f"rare:{k}")
+            if words >= 32:
+                out.append(f"long:{k}:{_bucket(share, (1, 2, 5))}")
     return out
 
 

@@ -44,6 +44,8 @@ class _Maker:
                 s = s.replace(" ", ", ", 1)
             if self.r.random() < 0.1:
                 s = " ".join(w + self.r.choice(["###", "%%%", "&&&", "***"]) for w in s.split())
+            if self.r.random() < 0.05:  # prose may speak of what marks other parts
+                s += " " + self.r.choice(["cookie", "privacy", "consent", "copyright", "newsletter", "reply", "comments", "sponsored"]) + " " + self.words(1, 6)
             out.append(s.capitalize() + self.r.choice([".", ".", ".", "!", "?"]))
         return " ".join(out)
 
@@ -66,8 +68,17 @@ class _Maker:
     def said(self, kind: str) -> str:
         return html.escape(self.r.choice(PHRASES[kind]).replace("{}", self.words(1, 3)))
 
+    def long(self, kind: str) -> str:
+        """A notice, legal text or form at length, in elements that say nothing of it."""
+        parts = [self.said(kind) for _ in range(self.r.randint(4, 14))] + [html.escape(self.prose(1)) for _ in range(self.r.randint(0, 4))]
+        self.r.shuffle(parts)
+        text = " ".join(parts)
+        return self.r.choice([f"<div><p>{text}</p></div>", f"<div>{text}</div>", f"<p>{text}</p>", f"<section><p>{text}</p></section>", self.box(["div", "section"], NOTICE + FOOT, f"<p>{text}</p>")])
+
     def junk(self, kind: str) -> str:
         r = self.r
+        if kind in ("notice", "foot", "form") and r.random() < 0.15:
+            return self.long(kind)
         text = lambda: html.escape(self.prose(r.randint(1, 3)))
         if kind == "menu":
             return self.box(["nav", "nav", "div", "ul", "header"], MENU, self.links(r.randint(3, 8)))
@@ -140,6 +151,11 @@ def labelled_pages(n: int, seed: int = 7) -> list[tuple[str, str]]:
         body = f"<article>{inside}</article>" if how < 0.45 else f"<main>{inside}</main>" if how < 0.55 else m.box(["div", "section", "article", "main", "div"], MAIN, inside)
         if r.random() < 0.2:
             body = f'<div class="{r.choice(["wrapper", "container", "page", "row", "site", "layout"])}">{body}</div>'
+        if r.random() < 0.06:  # columns of a table
+            cell = lambda inside, pool: f"<td{m.names(pool) if r.random() < 0.7 else ''}>{inside}</td>"
+            beside = cell(m.junk(r.choice(["menu", "side", "advert"])) if r.random() < 0.6 else m.links(3), MENU + SIDE)
+            cells = [cell(inside if r.random() < 0.6 else body, MAIN), beside]
+            body = f"<table><tr>{''.join(cells if r.random() < 0.5 else cells[::-1])}</tr></table>"
         before = [m.junk(x) for x in r.sample(["menu", "menu", "head", "advert", "notice", "form", "side"], k=r.randint(0, 4))]
         after = [m.junk(x) for x in r.sample(["foot", "foot", "comment", "side", "advert", "form", "share", "notice", "menu"], k=r.randint(0, 5))]
         head = f"<head><title>{html.escape(title)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -166,6 +167,48 @@ def test_extraction(spark):
     assert html_extract.extract_text(pages.filter("false")).count() == 0
 
 
+NOTICE = "This website uses cookies and similar technologies to improve your visit, to measure how the site is used and to show personalised content. By continuing you consent to our use of cookies. You can read more about cookies and withdraw your consent at any time in our privacy policy. "
+STORY = ["The bridge opens again", "After two years of work the old bridge over the river opens again on Sunday, the town council said.", "Some residents had asked for privacy screens, and the baker hands out a cookie to every child who crosses first.", "The cost rose from three to five million, of which the state pays half."]
+
+
+@pytest.mark.parametrize("size", [96, 250, 399, 401, 581, 900, 2000])
+@pytest.mark.parametrize("wrap", ["<div><p>{}</p></div>", "<div>{}</div>", "<p>{}</p>"])
+def test_notices_of_any_length_go(size, wrap):
+    crf = html_extract.trained()
+    notice = wrap.format((NOTICE * 8)[:size])
+    article = f"<article><h1>{STORY[0]}</h1>" + "".join(f"<p>{x}</p>" for x in STORY[1:]) + "</article>"
+    for body in (notice + article, article + notice, f"<div>{notice}</div><div>{article}</div>"):
+        assert crf.main_text(f"<html><head><title>{STORY[0]}</title></head><body>{body}</body></html>").split("\n") == STORY
+
+
+# Pages laid out by hand, each with the lines that a reader would call its article.
+_P = "".join(f"<p>{x}</p>" for x in STORY[1:])
+HAND = [
+    (f"<body><header><a href=/>Town News</a></header><nav><ul><li><a href=/a>Home</a><li><a href=/b>Sport</a></ul></nav><main><h1>{STORY[0]}</h1>{_P}</main><footer>&copy; 2024 Town News. All rights reserved.</footer></body>", STORY),
+    (f"<table><tr><td class=menu><a href=/x>Home</a><br><a href=/y>News</a></td><td class=content><h2>{STORY[0]}</h2>{_P}</td></tr></table><div id=footer><a href=/i>Imprint</a> | <a href=/p>Privacy policy</a></div>", STORY),
+    (f"<div id=wrapper><div class='post entry'><h1>{STORY[0]}</h1>{_P}<div class='share-buttons'><a href=#>Share</a> <a href=#>Tweet</a></div></div><div id=comments><h3>2 comments</h3><div class=comment><b>Ann</b> says: <p>I walked over it this morning and it is beautiful.</p></div><div class=comment><b>Bo</b><p>At last, it took long enough.</p></div></div></div>", STORY),
+    (f"<article><h1>{STORY[0]}</h1><p>{STORY[1]}</p><aside class=related><h4>Related</h4><ul><li><a href=/1>Road works end</a><li><a href=/2>Ferry stops</a></ul></aside><p>{STORY[2]}</p><div class=advertisement>Buy now and save</div><p>{STORY[3]}</p></article><form class=newsletter><label>Subscribe to our newsletter</label><input><button>Go</button></form>", STORY),
+    (f"<div class=cookie-banner><p>{NOTICE}</p><button>Accept</button></div><section class=story><h1>{STORY[0]}</h1>{_P}</section><script>var x = '<p>not text</p>';</script><style>p{{}}</style>", STORY),
+    ("<body><nav><a href=/>Home</a></nav><footer>&copy; us</footer></body>", []),
+]
+
+
+@pytest.mark.parametrize("number", range(len(HAND)))
+def test_hand_laid_pages(number):
+    page, lines = HAND[number]
+    assert html_extract.trained().main_text(page).split("\n") == (lines or [""])
+
+
+def test_deep_pages_are_read_in_one_pass():
+    def seconds(n):
+        at = time.perf_counter()
+        html_blocks.leaf_blocks("<div>" * n + "<td></b></p>" * n + "x" + "</div>" * n)
+        return time.perf_counter() - at
+
+    seconds(100)
+    assert min(seconds(16_000) for _ in range(3)) < 12 * max(1e-3, min(seconds(2_000) for _ in range(3)))  # quadratic: 64
+
+
 def test_viterbi_is_the_best_labelling():
     crf = html_extract.trained()
     title, blocks = html_blocks.leaf_blocks(html_pages.labelled_pages(1, seed=5)[0][0])
