@@ -364,9 +364,22 @@ def entry_covariance(spark: SparkSession, sf: str) -> DataFrame:
     return correlate.entry_covariance(_line_correlations(spark, sf), _LI_ENTRIES).withColumn("covariance", rounded("covariance"))
 
 
-@query()
+# Entries one after another by falling variance: the recursion carries those that were kept.
+_ALL_COV = " UNION ALL ".join(f"SELECT '{a}' AS i, '{b}' AS j, {k} AS idx, covar_pop({a}, {b}) AS c FROM tr" for k, a in enumerate(_LI_ENTRIES) for b in _LI_ENTRIES)
+
+
+@query(f"""WITH RECURSIVE {LI}, {_pearson_sql(LINE_FEATURES, 'lwin')}, tr AS (SELECT {', '.join(f'round({e}, 9) AS {e}' for e in _LI_ENTRIES)} FROM cor WHERE window_id % 5 > 1), cov AS ({_ALL_COV}),
+ranked AS (SELECT i AS entry, c AS variance, row_number() OVER (ORDER BY c DESC, idx) AS r FROM cov WHERE i = j),
+m AS (SELECT map_from_entries(list((x.i || '|' || x.j, least(1.0, abs(x.c / sqrt(a.c * b.c)))))) AS m FROM cov x JOIN cov a ON a.i = x.i AND a.j = x.i JOIN cov b ON b.i = x.j AND b.j = x.j WHERE a.c > 0 AND b.c > 0),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS r, CAST([] AS VARCHAR[]) AS kept, CAST(NULL AS VARCHAR) AS entry, CAST(NULL AS DOUBLE) AS variance, CAST(NULL AS VARCHAR) AS decision, CAST(NULL AS VARCHAR) AS redundant_with
+  UNION ALL
+  SELECT r, CASE WHEN variance > 1e-8 AND partner IS NULL THEN list_append(kept, entry) ELSE kept END, entry, variance, CASE WHEN variance <= 1e-8 THEN 'low_variance' WHEN partner IS NULL THEN 'retained' ELSE 'redundant' END, CASE WHEN variance > 1e-8 THEN partner END
+  FROM (SELECT o.r AS r, w.kept AS kept, o.entry AS entry, o.variance AS variance, list_filter(w.kept, lambda k: m.m[o.entry || '|' || k] >= 0.999)[1] AS partner FROM walk w JOIN ranked o ON o.r = w.r + 1 CROSS JOIN m)
+)
+SELECT entry, {R('variance')} AS variance, decision, redundant_with FROM walk WHERE r > 0""")
 def entry_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return correlate.entry_filter(correlate.entry_covariance(_line_correlations(spark, sf), _LI_ENTRIES), _LI_ENTRIES)
+    return correlate.entry_filter(correlate.entry_covariance(_line_correlations(spark, sf), _LI_ENTRIES), _LI_ENTRIES).withColumn("variance", rounded("variance"))
 
 
 _BANDS = "concat_ws(',', " + ", ".join(f"CAST(least(20, greatest(0, CAST(floor((round({e}, 9) + 1.0) * 10.5) AS INTEGER))) AS VARCHAR)" for e in _EV_ENTRIES) + ")"
@@ -598,6 +611,17 @@ def schema_inventory(spark: SparkSession, sf: str) -> DataFrame:
     return profile.schema_inventory(files.withColumn("file", order_file()))
 
 
+_COUNTED = "count(*) AS rows_seen, count(*) FILTER (lower(trim(v)) IN ('', '-', 'nan', 'null', 'none')) AS missing, count(TRY_CAST(trim(v) AS DOUBLE)) AS \"numeric\", count(*) FILTER (lower(trim(v)) NOT IN ('', '-', 'nan', 'null', 'none') AND TRY_CAST(trim(v) AS DOUBLE) IS NULL) AS not_numeric, CAST(0 AS BIGINT) AS non_finite, min(TRY_CAST(trim(v) AS DOUBLE)) AS least, max(TRY_CAST(trim(v) AS DOUBLE)) AS greatest"
+
+
+@query(f"""WITH {OF}, raw AS (SELECT file, unnest(CASE WHEN file % 2 = 0 THEN [{{'p': 0, 'c': 'ts', 'v': ts}}, {{'p': 1, 'c': 'key', 'v': key}}, {{'p': 2, 'c': 'note', 'v': note}}, {{'p': 3, 'c': 'tunnel_parents   label   detailed-label', 'v': '- ' || status || ' ' || third}}]
+ELSE [{{'p': 0, 'c': 'note', 'v': note}}, {{'p': 1, 'c': 'Label', 'v': status}}, {{'p': 2, 'c': 'key', 'v': key}}] END) AS x FROM cells), g AS (
+SELECT CASE WHEN file % 2 = 0 THEN 'ts|key|note|tunnel_parents   label   detailed-label' ELSE 'note|Label|key' END AS schema, CAST(x.p AS INTEGER) AS position, x.c AS "column", x.v AS v FROM raw), n AS (SELECT schema, position, "column", {_COUNTED} FROM g GROUP BY ALL)
+SELECT *, {R('coalesce("numeric" / CAST(nullif("numeric" + not_numeric, 0) AS DOUBLE), 0.0)')} AS numeric_fraction, coalesce("numeric" / CAST(nullif("numeric" + not_numeric, 0) AS DOUBLE), 0.0) >= 0.999 AS likely_numeric FROM n""")
+def external_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return inventory.column_profiles(spark, order_files(spark, sf), glob="*.txt").withColumn("numeric_fraction", rounded("numeric_fraction"))
+
+
 @query()
 def rf_shap_rank(spark: SparkSession, sf: str) -> DataFrame:
     features = [*LINE_FEATURES, "l_linenumber"]

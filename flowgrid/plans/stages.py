@@ -257,12 +257,21 @@ def hash_split_stage(spark: SparkSession, index: str, out: str) -> dict:
     items = _in(spark, index)
     clean = hashes.clean_split(items.withColumn("original_split", F.col("split")))
     was, now = F.col("original_split"), F.col("split")
+    cells = {f"{p}_{c}": (now == p) & (F.col("target") == k) for p in ("train", "validation", "test") for k, c in enumerate(("benign", "malicious"))}
     never = {"train_to_validation": (was == "train") & (now != "train"), "test_changed": (was == "test") != (now == "test"), "into_validation": (now == "validation") & (was != "validation")}
-    proof = Proof("target", keys=("window_id", "hash", "target"), counts={"moved": was != now}, never=never)
+    proof = Proof("target", keys=("window_id", "hash", "target"), counts={"moved": was != now, **cells}, never=never)
     before = Observed(items, proof=Proof("target", keys=("window_id", "hash", "target")))
     before.frame.write.format("noop").mode("overwrite").save()
-    known = items.filter(F.col("split") != "test").select("hash").distinct().count()
-    manifest = sinks.write_stage(clean, out, {"stage": "hash_split", "input": index}, proof=proof, before=before.values(), more=lambda _: {"hashes": known, "test_hashes_used": 0})
+    hashes_of = lambda p: items.filter(F.col("split") == p).select("hash")
+    known = hashes_of("train").union(hashes_of("validation")).distinct().count()
+    said = sinks.read_manifest(spark, index)
+
+    def more(values: dict) -> dict:
+        """The index's manifest with what has changed: its counts, and a note."""
+        counts = {p: {c: values[f"{p}_{c}"] for c in ("benign", "malicious")} for p in ("train", "validation", "test")}
+        return sinks.patched(said, f"{values['moved']} validation images that train has were moved there", class_counts=counts, hashes=known, test_hashes_used=0)
+
+    manifest = sinks.write_stage(clean, out, {"stage": "hash_split", "input": index}, proof=proof, before=before.values(), more=more)
     leaked = [r["hash"] for r in hashes.leaked_hashes(_in(spark, out)).orderBy("hash").limit(10).collect()]
     if leaked:
         raise AssertionError(f"train and validation still share hashes: {leaked}")

@@ -80,6 +80,17 @@ def write_stage(df: DataFrame, folder: str, configuration: dict, partition_by: l
         return manifest
 
 
+#: Fields that are a stage's own, whatever it goes on from.
+OWN_FIELDS = ("configuration", "configuration_hash", "rows", "columns", "proof", "spark")
+
+
+def patched(manifest: dict, note: str, **changes) -> dict:
+    """What a stage takes over from an earlier manifest: all but that stage's own fields, with some
+    replaced and a note added to its notes."""
+    kept = {k: v for k, v in manifest.items() if k not in OWN_FIELDS}
+    return kept | changes | {"notes": [*manifest.get("notes", []), note], "patched_from": manifest["configuration_hash"]}
+
+
 def _kept(spark: SparkSession, folder: str, own: str) -> dict:
     found = read_manifest(spark, folder)
     if found["configuration_hash"] != own:

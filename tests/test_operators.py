@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowgrid.functions import scalar
 from flowgrid.operators import correlate, encode, forest, hashes, metrics, ordering, prepare, profile, represent, select, split, windows
+from flowgrid.sources import flows, sinks
 
 
 def one(frame):
@@ -389,3 +390,34 @@ def test_crossing_rows(spark):
     assert tuple(split.crossing_rows(frame(rows), places, 5).first()) == (0, 0, 0)
     broken = [(k, 1 if k == 3 else w, "test" if k == 7 else s) for k, w, s in rows if k != 19]
     assert tuple(split.crossing_rows(frame(broken), places, 5).first()) == (1, 1, 3)
+
+
+def test_views_and_orders(spark, tmp_path):
+    items = spark.createDataFrame([(k, ["train", "test"][k % 2], k % 3 == 0) for k in range(9)], "window_id long, split string, target boolean").withColumn("target", F.col("target").cast("int"))
+    moved = sinks.split_view(items, spark.createDataFrame([(1, "train"), (3, "validation")], "window_id long, split string"), "window_id")
+    assert {r["window_id"]: r["split"] for r in moved.collect()} == {k: {1: "train", 3: "validation"}.get(k, ["train", "test"][k % 2]) for k in range(9)}
+    assert sorted(r["window_id"] for r in split.first_per_class(items, 2, "window_id").collect()) == [0, 1, 2, 3]
+    assert {(r["split"], r["target"]): r["window_id"] for r in represent.previews(items).collect()} == {("train", 1): 0, ("test", 0): 1, ("train", 0): 2, ("test", 1): 3}
+    assert [r["x"] for r in prepare.sort_flows(spark.createDataFrame([("10", 1, "c"), ("9.5", 3, "b"), ("9.5", 2, "a")], "ts string, source_row int, x string")).collect()] == ["a", "b", "c"]
+    history = spark.createDataFrame([(1, 0.5, 0.9), (2, 0.7, 0.8), (3, 0.7, 0.6), (4, 0.7, 0.6)], "epoch int, macro_f1 double, cross_entropy double")
+    assert metrics.best_epoch(history).first()["epoch"] == 3
+    logits = spark.createDataFrame([(0.0, 0.0), (1.0, 3.0), (700.0, -700.0)], "a double, b double").select(scalar.softmax_positive("a", "b").alias("p")).toPandas().p
+    assert np.allclose(logits, [0.5, 1 / (1 + math.exp(-2)), 0.0])
+    (tmp_path / "x.json").write_text('{"a": [1,\n 2]}')
+    assert flows.read_json(spark, str(tmp_path / "x.json")) == {"a": [1, 2]}
+    assert [r[0] for r in spark.createDataFrame([("0" * 64,), ("A" * 64,), ("0" * 63,), (None,)], "h string").select(scalar.is_sha256("h")).collect()] == [True, False, False, False]
+
+
+def test_filtered_matrix(spark):
+    df = spark.createDataFrame([([1.0, 0.5, 0.2, 0.5, 1.0, 0.3, 0.2, 0.3, 1.0],)], "corr array<float>")
+    got = df.select(correlate.filtered_matrix("corr", 3, {(0, 2)})).first()[0]
+    assert np.allclose(got, [1.0, 0.5, 0.0, 0.5, 1.0, 0.3, 0.0, 0.3, 1.0])
+
+
+def test_profiles_of_numbers_and_text_agree(spark):
+    rows = [(1.5, "1.5"), (None, None), (float("nan"), "nan"), (-2.0, "-2.0"), (3e300, "3e300")]
+    df = spark.createDataFrame(rows, "a double, b string")
+    for f in (profile.column_profile, profile.missing_profile):
+        a, b = (r.asDict() for r in f(df, ["a", "b"]).orderBy("column").collect())
+        a.pop("column"), b.pop("column")
+        assert a == b

@@ -65,6 +65,8 @@ def test_stages(spark, raw, tmp_path, monkeypatch):
     cli.main(["lookup", "--index", at("index"), "--out", at("lookup")])
     done = cli.main(["hash-split", "--index", at("index"), "--out", at("clean")])
     assert done["proof"]["train_to_validation"] == 0 and done["proof"]["key_sum"] is not None
+    assert sum(n for c in done["class_counts"].values() for n in c.values()) == 30 and done["patched_from"] == sinks.read_manifest(spark, at("index"))["configuration_hash"]
+    assert done["class_counts"]["test"] == {"benign": index.filter("split = 'test' and target = 0").count(), "malicious": index.filter("split = 'test' and target = 1").count()} and len(done["notes"]) == 1
     index.filter("split = 'validation'").select("window_id", "target", (F.col("window_id") / 40.0).alias("p")).write.parquet(at("predictions"))
     cli.main(["diagnose", "--predictions", at("predictions"), "--index", at("index"), "--out", at("reports")])
     assert spark.read.parquet(at("reports/data")).first()["tp"] is not None
