@@ -260,7 +260,8 @@ def quality_classifier(
     n_grams, perplexity (a character), threshold and kept. A text is kept up to its language's
     threshold: the quantile of held-out perplexities times the margin.
     A null or empty text has no perplexity and isn't kept. Texts of a language without trusted ones
-    have none either, and are kept. A null language is one of its own. Repeated rows are scored
+    have none either, and are kept; so are those of a language whose few trusted ones all train the
+    model or are all held out, since it then has no threshold or no model. A null language is one of its own. Repeated rows are scored
     each. An empty table gives no rows.
     """
     spark = docs.sparkSession

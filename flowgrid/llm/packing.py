@@ -130,7 +130,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
     """Pack every whole text of ``docs``; one row per piece, as PIECE names them.
 
     A null or empty text has the end id alone. A null doc_id stays null; repeated rows are packed
-    each. Tasks pack independently, under sequence ids that hold their number, so nothing is
+    each. A task with OPEN_WINDOWS windows that are partly filled joins their rests and cuts them anew
+    into whole ones before it goes on, which bounds its memory. Tasks pack independently, under sequence ids that hold their number, so nothing is
     shuffled and a task that runs again gives the same pieces. An empty table gives none.
     """
 

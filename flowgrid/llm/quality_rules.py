@@ -144,7 +144,8 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str | None = "lang"
     Returns the columns ``keep``, the five base measures, ``base_failed``, ``kept`` and
     ``failed_rules`` (names, in the table's order). A null or empty text has no words, so it fails
     the base rule. A null language or one outside the stop-word lists is exempt from rules bound to
-    languages. Repeated rows are judged each by itself; other input columns don't matter, whatever
+    languages. Three-word windows of a text are told apart by 64-bit hashes: two different ones of a
+    text of 100,000 words are taken for each other with a probability of 3e-10. Repeated rows are judged each by itself; other input columns don't matter, whatever
     their names.
     """
     measured = _measures(docs.select(*[F.col(k) for k in keep], F.col(text).alias("_text_in"), *([F.col(lang).alias("_lang_in")] if lang else [])), "_text_in", "_lang_in" if lang else None)
