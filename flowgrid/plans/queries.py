@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowgrid.functions.scalar import finite, rounded, to_number
 from flowgrid.operators import correlate, encode, hashes, metrics, ordering, prepare, profile, represent, select, split, windows
-from flowgrid.plans.frames import DI, EV, EVENT_FEATURES, LI, LINE_FEATURES, LINE_KEYS, OF, doc_items, event_flows, event_split, event_windows, line_flows, line_part, line_windows, order_file, order_files, table
+from flowgrid.plans.frames import DI, EV, EVENT_FEATURES, LI, LINE_FEATURES, LINE_KEYS, OF, doc_items, event_flows, event_split, event_windows, line_flows, line_windows, order_file, order_files, table
 from flowgrid.sources import inventory
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -39,15 +39,23 @@ class Audit:
     labels: DataFrame
 
 
+def _words(x: Column) -> Column:
+    return F.split(_strip(x), r"\s+")
+
+
+def _fields(header: Column | str) -> Column:
+    """The fields of each of a header's cells: one, or those of a known merged cell."""
+    merged = lambda c: F.array_join(_words(c), " ").isin([" ".join(n) for n in MERGED_HEADERS])
+    return F.transform(header, lambda c: F.when(merged(c), _words(c)).otherwise(F.array(_strip(c))))
+
+
 def _cells_by_name(records: DataFrame) -> DataFrame:
     """(file, record, row, position, width, column, value, wrong): every cell of every record under its
     own file's header. A cell under a merged header is split into its fields. Records that don't go
     with the header have one row with ``wrong`` and no column."""
-    words = lambda c: F.split(_strip(c), r"\s+")
-    merged = lambda c: F.array_join(words(c), " ").isin([" ".join(n) for n in MERGED_HEADERS])
-    headers = only(records, F.col("record") == 0).select(F.col("file").alias("_file"), F.transform("cells", lambda c: F.when(merged(c), words(c)).otherwise(F.array(_strip(c)))).alias("groups"))
+    headers = only(records, F.col("record") == 0).select(F.col("file").alias("_file"), _fields("cells").alias("groups"))
     rows = only(records, F.col("record") > 0).join(small(headers), F.col("file") == F.col("_file"))
-    parts = F.zip_with("cells", "groups", lambda v, g: F.when(F.size(g) > 1, words(v)).otherwise(F.array(_strip(v))))
+    parts = F.zip_with("cells", "groups", lambda v, g: F.when(F.size(g) > 1, _words(v)).otherwise(F.array(_strip(v))))
     sound = (F.size("cells") == F.size("groups")) & F.forall(F.zip_with("parts", "groups", lambda v, g: F.size(v) == F.size(g)), lambda x: x)
     rows = rows.withColumn("parts", parts).withColumn("wrong", ~F.coalesce(sound, F.lit(False)))
     named = F.arrays_zip(F.flatten("groups").alias("column"), F.flatten("parts").alias("value"))
@@ -107,10 +115,9 @@ def audit_files(spark: SparkSession, folder: str, limit: int | None = None, recu
     steps = order_report(kept.filter(is_time & number.isNotNull()).select("file", "record", number.alias("t")), "t", ["record"], "file")
     sizes = records.groupBy("file").agg(F.max("row").alias("_all"), F.max(F.when(F.col("record") == 0, F.size("cells"))).alias("original_columns"), F.max(F.when(F.col("record") == 0, F.col("cells"))).alias("_header"))
     files = sizes.join(found, "file", "left").join(steps.select("file", "backward_steps"), "file", "left")
-    names = F.flatten(F.transform("_header", lambda c: F.when(F.array_join(F.split(_strip(c), r"\s+"), " ").isin([" ".join(n) for n in MERGED_HEADERS]), F.split(_strip(c), r"\s+")).otherwise(F.array(_strip(c)))))
     status = F.when(F.col("_all") == 0, "empty").when(F.col("wrong_rows") > 0, "error")
     status = (status.when(F.col("_all") > limit, "sampled_prefix") if limit else status).otherwise("complete_file")
-    files = files.withColumn("columns", names).select(
+    files = files.withColumn("columns", F.flatten(_fields("_header"))).select(
         "file", status.alias("status"), F.coalesce("rows", F.lit(0)).alias("rows"), "original_columns", F.size("columns").alias("parsed_columns"), "columns", "wrong_rows", "first_wrong_record",
         F.array_contains("columns", "ts").alias("ts_present"), "ts_min", "ts_max", "ts_invalid", F.coalesce("backward_steps", F.lit(0)).alias("backward_steps"),
     )
