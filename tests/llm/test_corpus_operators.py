@@ -408,6 +408,19 @@ def test_exact_passages_behind_a_common_line(spark, common, own, linked):
     assert whole == 60
 
 
+def test_passages_of_one_pair_are_not_parts_of_each_other(spark):
+    """Exact repeats that are part of a passage of the same two documents have no rows of their own."""
+    r = random.Random(5)
+    line, half, other = prose(r, 48), prose(r, 60), prose(r, 60)
+    rows = [(k, " ".join([prose(r, 20), line, prose(r, 20), half, prose(r, 1), other, prose(r, 20)])) for k in range(30)]
+    got = defaultdict(list)
+    for x in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        got[x["doc_id"], x["other_doc_id"]].append((x["start_word"], x["start_word"] + x["n_words"]))
+    assert {k for k, _ in got} == set(range(30))
+    for spans in got.values():
+        assert not [1 for p in spans for q in spans if p != q and q[0] <= p[0] and p[1] <= q[1]], spans
+
+
 def test_exact_passages_by_brute_force(spark):
     """Licence lines of all lengths, passages and families mixed: every word of every run of 50 words
     that two documents share is in some passage, and passages are no more alike than they say."""
