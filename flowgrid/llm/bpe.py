@@ -12,6 +12,7 @@ import base64
 import hashlib
 import json
 import os
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -22,6 +23,8 @@ from pyspark.sql import types as T
 
 #: Fragments that a worker remembers before it starts anew.
 MEMO_ENTRIES = 400_000
+#: Bytes of a word up to which it is encoded without forced cuts, which give the same ids.
+SHORT = 64
 
 # Unicode white space but for space and line feed; and control characters that only
 # some libraries take for white space.
@@ -107,16 +110,25 @@ class Encoder:
         self.split = regex.compile(WORD_PATTERN if self.vocabulary.suffix else BYTE_PATTERN).findall
         self.any_fragment = regex.compile(f"{SPACE_CLASS}*[^{SPACE_CLASS[1:]}+|{SPACE_CLASS}+").findall
         self.memo: dict[str, dict[str, object]] = {"": {}, " ": {}, "\n": {}}
+        self.words: dict[str, list[int]] = {}  # ids of words, which stand in many fragments
 
     def ids(self, fragment: str) -> list[int]:
         """Ids of one fragment, from nothing else."""
         v = self.vocabulary
-        if "<|" in fragment or max(fragment) >= LATIN_END:
+        if "<|" in fragment or not fragment.isascii() and max(fragment) >= LATIN_END:
             return v.library.encode(fragment, add_special_tokens=False).ids
         out: list[int] = []
         if v.suffix:
-            for p in self.split(fragment.lower()):
-                out += v.encode_piece(p.encode() + WORD_END)
+            words, folded = self.words, fragment.lower()
+            for p in (folded,) if folded.isascii() and folded.isalpha() else self.split(folded):
+                found = words.get(p)
+                if found is None:
+                    if len(words) >= self.limit:
+                        words.clear()
+                    # Forced cuts don't change the ids; for short words they cost more than they save.
+                    piece = p.encode() + WORD_END
+                    found = words[p] = v.core.encode_single_piece(piece) if len(piece) <= SHORT else v.encode_piece(piece)
+                out += found
         else:
             for p in self.split(fragment):
                 out += v.encode_piece(p.encode())
@@ -124,14 +136,18 @@ class Encoder:
 
     def _look(self, words: list[str], before: str, out: list) -> None:
         memo = self.memo[before]
-        get = memo.get
-        for w in words:
-            found = get(w)
-            if found is None:
+        found = list(map(memo.get, words))
+        at = -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            w = words[at]
+            new = memo.get(w)
+            if new is None:
                 if len(memo) >= self.limit:
                     memo.clear()
-                found = memo[w] = self.pack(self.ids(before + w), self.vocabulary)
-            out.append(found)
+                new = memo[w] = self.pack(self.ids(before + w), self.vocabulary)
+            found[at] = new
+        out += found
 
     def fragments(self, text: str) -> list:
         """What the memo holds for each fragment of ``text``, in order."""
@@ -142,7 +158,8 @@ class Encoder:
             if any(c in text for c in DOUBTFUL):
                 out.append(self.pack(self.vocabulary.library.encode(text, add_special_tokens=False).ids, self.vocabulary))
             else:
-                self._look(text.split(), "", out)
+                # Fragments are folded anyway, but special tokens are found before.
+                self._look((text.lower() if text.isascii() and "<|" not in text else text).split(), "", out)
             return out
         if any(special in text for special in self.vocabulary.special):
             return self._with_specials(text)
@@ -169,7 +186,7 @@ def _pack_decimal(ids: list[int], v: Vocabulary) -> tuple[str, bytes]:
 
 
 def _pack_binary(ids: list[int], _: Vocabulary) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=4)

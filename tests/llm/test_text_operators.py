@@ -128,6 +128,17 @@ def test_packing(spark, odd, none):
     assert packing.pack_documents(none, WORD).count() == 0
 
 
+def test_words_of_any_case_and_punctuation_are_encoded_once():
+    library = Tokenizer.from_file(WORD)
+    e = bpe.Encoder(WORD, bpe._pack_binary, memo_entries=50)
+    for t in ("Word word WORD", "word. Word, (word) it's IT'S", "x" * 300 + " aB1c2", "A <|endoftext|> B <|Endoftext|>", "ÄRGER İx Straße words", "\x1cA b", "zzqx" * 15 + "A " * 200):
+        ids = np.frombuffer(b"".join(e.fragments(t)), "<u4").tolist()
+        assert ids == library.encode(t, add_special_tokens=False).ids, t
+    e = bpe.Encoder(WORD, bpe._pack_binary)
+    e.fragments("Word word WORD word. (Word)")
+    assert set(e.memo[""]) == {"word", "word.", "(word)"} and "word" in e.words
+
+
 def test_sum_of_squares_choice():
     p = packing.SumOfSquares(0, window=10)
     p.count[[3, 6]] = [2, 1]
