@@ -65,11 +65,10 @@ def _crc(grams: pa.Array) -> pa.Array:
     """zlib's CRC-32 of each string's UTF-8 bytes."""
     if isinstance(grams, pa.ChunkedArray):
         grams = grams.combine_chunks()
-    grams = grams.cast(pa.string())
-    _, places, data = grams.buffers()
-    at = np.frombuffer(places, np.int32)[grams.offset : grams.offset + len(grams) + 1].tolist()
-    text = data.to_pybytes() if data else b""
-    return pa.array(np.fromiter(map(crc32, map(text.__getitem__, map(slice, at, at[1:]))), np.uint32, len(grams)))
+    grams = grams.cast(pa.binary())
+    if grams.null_count:
+        grams = grams.fill_null(b"")
+    return pa.array(np.fromiter(map(crc32, grams.to_numpy(zero_copy_only=False)), np.uint32, len(grams)))
 
 
 @lru_cache(maxsize=1)
