@@ -12,6 +12,7 @@ hash functions collide over common intervals, the passages are fetched and verif
 from __future__ import annotations
 
 import itertools
+import math
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -37,6 +38,8 @@ BESIDE = 9
 #: Least words of a passage, and least similarity.
 PASSAGE = 50
 THRESHOLD = 0.8
+#: Classes under a key up to which all of them meet, and documents up to which a shingle lists its pairs.
+LARGE = 32
 
 _BLOCK = 1 << 23
 
@@ -576,17 +579,87 @@ def _exact_passages(docs: DataFrame, doc_id: str, text: str, found: DataFrame, p
     return exact
 
 
-def _between_classes(shared: DataFrame, classes: DataFrame) -> DataFrame:
+def _hits_needed(passage: int, threshold: float) -> int:
+    """Places of a document that a similar passage must share with the other one, at least."""
+    return math.ceil(threshold * (passage - WORDS + 1) - 1e-9)
+
+
+def _tokens(first: DataFrame, large: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc, token, n): how often each shingle stands in any window of ``first`` of the documents that have a window
+    under a key of ``large``. What is compared of a document later is always part of these windows."""
+    wanted = materialise(first.join(small(large), "key", "left_semi").select("doc").distinct(), "wanted", reduced=True)
+    asked = materialise(first.join(small(wanted), "doc", "left_semi").groupBy("doc").agg(F.collect_set("place").alias("places")), "asked", reduced=True)
+    given = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    out = T.StructType([T.StructField(k, T.LongType()) for k in ("doc", "token", "n")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 64):
+                columns: list[list[np.ndarray]] = [[], [], []]
+                for doc, t, places in zip(part.column(0).to_pylist(), part.column(1), part.column(2), strict=True):
+                    stream = shingle_stream(word_hashes(t.as_py() or ""))
+                    l, r, _ = _unplaced(places.values.to_numpy(zero_copy_only=False))
+                    steps = np.zeros(len(stream) + 1, np.int64)
+                    np.add.at(steps, np.minimum(l, len(stream)), 1)
+                    np.add.at(steps, np.minimum(r + 1, len(stream)), -1)
+                    token, n = np.unique(stream[np.cumsum(steps)[:-1] > 0], return_counts=True)
+                    columns[0].append(np.full(len(token), doc))
+                    columns[1].append(token.view(np.int64))
+                    columns[2].append(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in columns], names=out.names)
+
+    texts = only_with(given, "doc", asked).join(asked, "doc").select("doc", "text", "places")
+    # Rows that share an id are one document.
+    tokens = materialise(texts.mapInArrow(run, out).groupBy("doc", "token").agg(F.sum("n").alias("n")), "tokens", reduced=True)
+    discard(wanted, asked)
+    return tokens
+
+
+def _possible(tokens: DataFrame, needed: int) -> tuple[DataFrame, DataFrame]:
+    """(doc) of documents with ``needed`` places of common shingles, which more than LARGE documents hold, and the
+    pairs (a, b), not both of those, that share one of the other shingles. No other pair has ``needed`` places in
+    common. A shingle of the second kind makes LARGE rows for each of its documents at most."""
+    held = materialise(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "held", reduced=True)
+    common, rare = held.filter(F.col("df") > LARGE), held.filter(F.col("df") <= LARGE)
+    dense = tokens.join(common.select("token"), "token").groupBy("doc").agg(F.sum("n").alias("n")).filter(F.col("n") >= needed)
+    dense = materialise(dense.select("doc"), "dense", reduced=True)
+    sharing = tokens.join(rare.select("token"), "token").select("token", "doc")
+    sharing = materialise(sharing.join(small(dense.withColumn("dense", F.lit(True))), "doc", "left"), "sharing", reduced=True)
+    thin = sharing.filter("dense is null").select("token", F.col("doc").alias("one"))
+    two = thin.join(sharing, "token").filter("one < doc or (dense and one > doc)")
+    pairs = two.select(F.least("one", "doc").alias("a"), F.greatest("one", "doc").alias("b")).distinct()
+    pairs = materialise(pairs, "pairs", reduced=True)
+    discard(held, sharing)
+    return dense, pairs
+
+
+def _between_classes(shared: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, passage: int, threshold: float) -> DataFrame:
     """Meetings of the classes of documents that a key's windows are of: the least document of each
-    class with that of every other one."""
+    class with that of every other one. Under a key of more than LARGE classes only those meet that
+    share enough shingles for a similar passage to be possible, which shingles' lists say."""
     of = shared.select("key", "doc", "place").join(small(classes.select(F.col("node").alias("doc"), "component")), "doc", "left").withColumn("of", F.coalesce("component", "doc"))
     mixed = of.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).filter("lo != hi").select("key")
     mixed = materialise(mixed, "mixed", reduced=True)
     first = of.join(small(mixed), "key").groupBy("key", "of").agg(F.min("doc").alias("doc"), F.min_by("place", "doc").alias("place")).drop("of")
     first = materialise(first, "classes", reduced=True)
     discard(mixed)
-    one, two = (first.select("key", F.col("doc").alias(k), F.col("place").alias(f"p{k}")) for k in "ab")
-    return one.join(two, "key").filter("a < b").select("a", "pa", "b", "pb")
+
+    def met(rows: DataFrame) -> DataFrame:
+        one, two = (rows.select("key", F.col("doc").alias(k), F.col("place").alias(f"p{k}")) for k in "ab")
+        return one.join(two, "key").filter("a < b").select("a", "pa", "b", "pb")
+
+    large = materialise(first.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE).select("key"), "large", reduced=True)
+    if large.isEmpty():
+        return met(first)
+    tokens = _tokens(first, large, docs, doc_id, text)
+    dense, pairs = _possible(tokens, _hits_needed(passage, threshold))
+    many = materialise(first.join(small(large), "key", "left_semi"), "many", reduced=True)
+    sides = [many.select("key", F.col("doc").alias(k), F.col("place").alias(f"p{k}")) for k in "ab"]
+    possible = pairs.join(sides[0], "a").join(sides[1], ["b", "key"]).select("a", "pa", "b", "pb")
+    out = met(first.join(small(large), "key", "left_anti")).unionByName(met(many.join(small(dense), "doc", "left_semi"))).unionByName(possible)
+    out = materialise(out, "meetings", reduced=True)
+    discard(first, large, tokens, dense, pairs, many)
+    return out
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passage: int = PASSAGE, threshold: float = THRESHOLD, hashes: int = HASHES, enough: int = ENOUGH) -> DataFrame:
@@ -607,7 +680,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     meets = shared.select(*[F.when(swap, F.col(x)).otherwise(F.col(y)).alias(k) for k, x, y in (("a", "lead", "doc"), ("pa", "lead_place", "place"), ("b", "doc", "lead"), ("pb", "place", "lead_place"))])
     found = _compared(meets, docs, doc_id, text, passage, threshold, enough)
     classes = connected_components(found)
-    more = _compared(_between_classes(shared, classes), docs, doc_id, text, passage, threshold, enough)
+    more = _compared(_between_classes(shared, classes, docs, doc_id, text, passage, threshold), docs, doc_id, text, passage, threshold, enough)
     discard(shared, classes)
     found = found.unionByName(more)
     exact = _exact_passages(docs, doc_id, text, found, passage)

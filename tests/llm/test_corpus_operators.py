@@ -555,3 +555,28 @@ def test_sketches_estimate_similarity():
         one = np.ones(360, np.int64)
         differ.append(int(np.bitwise_count((near_dedup.sketch(a, one) ^ near_dedup.sketch(b, one)).view(np.uint64)).sum()))
     assert max(differ) <= near_dedup.most_differing(0.8) and abs(np.mean(differ) - 0.1 * near_dedup.SKETCH) < 10
+
+
+def test_passages_under_a_common_line(spark):
+    """Unlike documents that begin with one line don't meet in pairs, and those that go on alike are all found."""
+    rng = random.Random(11)
+    new = lambda n: [f"w{rng.randrange(1 << 40)}" for _ in range(n)]
+    line, rows = new(23), []
+    for k in range(160):
+        rows.append((k, line + new(30)))
+    for k in range(20):
+        own = rows[k][1][23:]
+        rows.append((1000 + k, [*line, *own[:12], *new(1), *own[13:]]))
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string").repartition(4)
+    shared = substring_dedup.materialise(substring_dedup._shared(substring_dedup.windows_of(docs, "doc_id", "text")), "shared")
+    apart = spark.createDataFrame([], "node long, was long, component long")
+    met = substring_dedup._between_classes(shared, apart, docs, "doc_id", "text", 50, 0.8)
+    pairs = {(x.a, x.b) for x in met.select("a", "b").distinct().collect()}
+    largest = max(x["count"] for x in shared.select("key", "doc").distinct().groupBy("key").count().collect())
+    assert largest > substring_dedup.LARGE and len(pairs) < largest * (largest - 1) / 8
+    # The pairs that had met without lists of shingles, and shared a passage, are still among them.
+    one, two = (shared.groupBy("key", F.col("doc").alias(k)).agg(F.min("place").alias(f"p{k}")) for k in "ab")
+    every = substring_dedup.materialise(one.join(two, "key").filter("a < b"), "every")
+    assert every.select("a", "b").distinct().count() > 8 * len(pairs)
+    results = [{tuple(x) for x in substring_dedup._compared(m, docs, "doc_id", "text", 50, 0.8, 2).collect()} for m in (met, every)]
+    assert results[0] == results[1] and len(results[0]) >= 12
