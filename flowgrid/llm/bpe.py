@@ -12,6 +12,7 @@ import base64
 import hashlib
 import json
 import os
+import re
 import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -36,6 +37,8 @@ LATIN_END = "ɐ"
 # The pre-tokenisers' patterns.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What WORD_PATTERN is in folded ASCII text.
+ASCII_WORD_PATTERN = r"'(?:[stmd]|re|ve|ll)|[a-z]+|[0-9]|[^ \t\n\r\f\va-z0-9]+"
 #: Stands for the end of a word; no UTF-8 text has this byte.
 WORD_END = b"\xff"
 
@@ -110,7 +113,8 @@ class Encoder:
         self.split = regex.compile(WORD_PATTERN if self.vocabulary.suffix else BYTE_PATTERN).findall
         self.any_fragment = regex.compile(f"{SPACE_CLASS}*[^{SPACE_CLASS[1:]}+|{SPACE_CLASS}+").findall
         self.memo: dict[str, dict[str, object]] = {"": {}, " ": {}, "\n": {}}
-        self.words: dict[str, list[int]] = {}  # ids of words, which stand in many fragments
+        self.pieces, self.join = re.compile(ASCII_WORD_PATTERN).findall, _JOINS.get(pack)
+        self.words: dict[str, object] = {}  # what the memo would hold for a word, which stands in many fragments
 
     def ids(self, fragment: str) -> list[int]:
         """Ids of one fragment, from nothing else."""
@@ -119,34 +123,52 @@ class Encoder:
             return v.library.encode(fragment, add_special_tokens=False).ids
         out: list[int] = []
         if v.suffix:
-            words, folded = self.words, fragment.lower()
-            for p in (folded,) if folded.isascii() and folded.isalpha() else self.split(folded):
-                found = words.get(p)
-                if found is None:
-                    if len(words) >= self.limit:
-                        words.clear()
-                    # Forced cuts don't change the ids; for short words they cost more than they save.
-                    piece = p.encode() + WORD_END
-                    found = words[p] = v.core.encode_single_piece(piece) if len(piece) <= SHORT else v.encode_piece(piece)
-                out += found
+            for p in self.split(fragment.lower()):
+                out += self._word(p)
         else:
             for p in self.split(fragment):
                 out += v.encode_piece(p.encode())
         return out
 
+    def _word(self, p: str) -> list[int]:
+        """Ids of one piece of WORD_PATTERN."""
+        # Forced cuts don't change the ids; for short words they cost more than they save.
+        piece = p.encode() + WORD_END
+        return self.vocabulary.core.encode_single_piece(piece) if len(piece) <= SHORT else self.vocabulary.encode_piece(piece)
+
+    def _new(self, fragment: str) -> object:
+        """What the memo holds for ``fragment``; where words end in a sign of their own, joined from its words'."""
+        v = self.vocabulary
+        if not v.suffix or self.join is None or "<|" in fragment or not fragment.isascii() and max(fragment) >= LATIN_END:
+            return self.pack(self.ids(fragment), v)
+        words, folded = self.words, fragment.lower()
+        if folded.isascii():
+            pieces = [folded] if folded.isalpha() else self.pieces(folded)
+        else:
+            pieces = [folded] if folded.isalpha() else self.split(folded)
+        found = list(map(words.get, pieces))
+        if None in found:
+            for at, p in enumerate(pieces):
+                if found[at] is None:
+                    if len(words) >= self.limit:
+                        words.clear()
+                    found[at] = words[p] = self.pack(self._word(p), v)
+        return found[0] if len(found) == 1 else self.join(found)
+
     def _look(self, words: list[str], before: str, out: list) -> None:
         memo = self.memo[before]
         found = list(map(memo.get, words))
-        at = -1
-        for _ in range(found.count(None)):
-            at = found.index(None, at + 1)
-            w = words[at]
-            new = memo.get(w)
-            if new is None:
-                if len(memo) >= self.limit:
-                    memo.clear()
-                new = memo[w] = self.pack(self.ids(before + w), self.vocabulary)
-            found[at] = new
+        if None in found:
+            new = self._new
+            for at, x in enumerate(found):
+                if x is None:
+                    w = words[at]
+                    x = memo.get(w)
+                    if x is None:
+                        if len(memo) >= self.limit:
+                            memo.clear()
+                        x = memo[w] = new(before + w)
+                    found[at] = x
         out += found
 
     def fragments(self, text: str) -> list:
@@ -185,8 +207,19 @@ def _pack_decimal(ids: list[int], v: Vocabulary) -> tuple[str, bytes]:
     return ",".join(map(str, ids)), b"".join([v.decoded[i] for i in ids])
 
 
+def _join_decimal(packed: list[tuple[str, bytes]]) -> tuple[str, bytes]:
+    return ",".join([x[0] for x in packed if x[0]]), b"".join([x[1] for x in packed])
+
+
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(17)]
+
+
 def _pack_binary(ids: list[int], _: Vocabulary) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
+
+
+#: How what these make of a fragment's words becomes what they make of the fragment.
+_JOINS = {_pack_decimal: _join_decimal, _pack_binary: b"".join}
 
 
 @lru_cache(maxsize=4)

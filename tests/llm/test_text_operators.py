@@ -292,3 +292,14 @@ def test_verdicts_by_brute_force(spark):
     clean = sorted((x["doc_id"], x["text"]) for x in secrets.redact_secrets(docs).collect())
     # The mark takes the place of the whole assignment.
     assert clean == sorted((k, "\n".join("[SECRET]" if live(v) else f"secret: {v}" for v in re.findall(r"secret: (\S+)", t))) for k, t, _ in rows)
+
+
+def test_fragments_are_joined_from_words():
+    library = Tokenizer.from_file(WORD)
+    for pack, plain in ((bpe._pack_binary, lambda f: np.frombuffer(b"".join(f), "<u4").tolist()), (bpe._pack_decimal, lambda f: [int(i) for x in f if x[0] for i in x[0].split(",")])):
+        encoder = bpe.Encoder(WORD, pack)
+        for text in ("Tree, (tree) tree. TREE's 'tree", "Été, (été) été. Étés' IT'S 19 ª", "été Жд, (été) 中 tree. Жд's a\xa0b", "don't've 'Tis 'D \x00 \x7f a_b", "tree <|x été"):
+            assert plain(encoder.fragments(text)) == library.encode(text, add_special_tokens=False).ids, text
+        # Neither the Unicode pattern nor ids of whole fragments are needed for ASCII words.
+        encoder.split = encoder.ids = None
+        assert plain(encoder.fragments("new, (new) words. It's 'new' 42!")) == library.encode("new, (new) words. It's 'new' 42!", add_special_tokens=False).ids
