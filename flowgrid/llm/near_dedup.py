@@ -128,7 +128,9 @@ def _parsed(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The rows (a, b) of ``pairs`` whose texts are similar: as sets of shingles or as weighted ones."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    # Later rounds ask for few of the texts, and leaders are few: only those are shuffled.
+    sides = [only_with(texts.select(F.col("node").alias(k), F.col("text").alias(f"t{k}")), k, pairs) for k in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ta", "tb")
     schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

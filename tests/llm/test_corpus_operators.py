@@ -580,3 +580,20 @@ def test_passages_under_a_common_line(spark):
     assert every.select("a", "b").distinct().count() > 8 * len(pairs)
     results = [{tuple(x) for x in substring_dedup._compared(m, docs, "doc_id", "text", 50, 0.8, 2).collect()} for m in (met, every)]
     assert results[0] == results[1] and len(results[0]) >= 12
+
+
+def test_verification_moves_only_the_texts_of_pairs(spark, monkeypatch):
+    moved, real = [], near_dedup.only_with
+
+    def counted(df, key, wanted):
+        out = real(df, key, wanted)
+        moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "only_with", counted)
+    text = lambda k: bytearray(zlib.compress(" ".join(f"w{k % 7}x{i}" for i in range(30)).encode()))
+    texts = spark.createDataFrame([(bytearray([k]), text(k)) for k in range(100)], "node binary, text binary")
+    pairs = spark.createDataFrame([(bytearray([1]), bytearray([8])), (bytearray([1]), bytearray([3]))], "a binary, b binary")
+    got = near_dedup._verified(pairs, texts, 0.8).collect()
+    assert [(bytes(x.a), bytes(x.b)) for x in got] == [(b"\x01", b"\x08")]
+    assert moved == [1, 2]
