@@ -9,6 +9,8 @@ _MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INVERSE = pow(_P, -1, 1 << 64)
 _CHUNK = 1 << 20
+#: Bytes of short texts that are hashed together.
+_TOGETHER = 1 << 16
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -47,12 +49,12 @@ def _hash_words(b: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return mix((sums[ends] - sums[starts]) * _Powers.up[starts]), ends
 
 
-def word_hashes(text: str, gap: np.ndarray = _SPACE, fold: np.ndarray | None = None) -> np.ndarray:
+def word_hashes(text: str | bytes, gap: np.ndarray = _SPACE, fold: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash for each word ``[^\\x20\\x09-\\x0D]+`` of the whole text, in order.
 
     ``gap`` says of other bytes that they separate words; ``fold`` replaces each byte first.
     """
-    b = np.frombuffer(text.encode(), np.uint8)
+    b = np.frombuffer(text if isinstance(text, bytes) else text.encode(), np.uint8)
     if fold is not None:
         b = fold[b]
     if len(b) <= _CHUNK:
@@ -92,6 +94,30 @@ def shingle_stream(words: np.ndarray, size: int = WORDS) -> np.ndarray:
     return mix(total)
 
 
+def shingle_streams(texts: list[bytes], size: int = WORDS) -> list[np.ndarray]:
+    """``shingle_stream(word_hashes(text), size)`` of each UTF-8 text; short texts are hashed together."""
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(texts):
+        to, held = at + 1, len(texts[at])
+        while to < len(texts) and held + len(texts[to]) < _TOGETHER:
+            held += len(texts[to]) + 1
+            to += 1
+        if held > _CHUNK:
+            out.append(shingle_stream(word_hashes(texts[at]), size))
+        else:
+            words, ends = _hash_words(np.frombuffer(b" ".join(texts[at:to]), np.uint8), _SPACE)
+            # Shingles over the end of a text are skipped.
+            every = shingle_stream(words, size)
+            last = np.cumsum([len(t) + 1 for t in texts[at:to]]) - 1
+            lo = 0
+            for hi in np.searchsorted(ends, last, side="right").tolist():
+                out.append(every[lo : hi - size + 1] if hi - lo >= size else shingle_stream(words[lo:hi], size))
+                lo = hi
+        at = to
+    return out
+
+
 def weighted_shingles(text: str, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles in ascending order, and how often each occurs."""
     return np.unique(shingle_stream(word_hashes(text), size), return_counts=True)

@@ -16,7 +16,6 @@ import math
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark.sql import types as T
 from flowgrid.llm.bpe import slices
 from flowgrid.llm.common import discard, materialise, only_with
 from flowgrid.llm.components import connected_components
-from flowgrid.llm.shingles import WORDS, mix, shingle_stream, word_bounds, word_hashes
+from flowgrid.llm.shingles import WORDS, mix, shingle_streams, word_bounds
 from flowgrid.operators.encode import small
 
 #: Hash functions, and how many of them must collide over common intervals.
@@ -73,23 +72,27 @@ def compact_windows(hashes: np.ndarray, documents: np.ndarray, ends: np.ndarray,
     low = low[np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))]
     c = (low & np.uint64((1 << 24) - 1)).astype(np.int64)
     # The Cartesian tree over these minima: what bounds a wide window is the minimum of a wide one.
-    value, doc = low.tolist(), documents[c].tolist()
-    left, right = [0] * len(c), [0] * len(c)
-    starts = np.concatenate(([0], ends[:-1]))
-    place, stack, now = c.tolist(), [], -1
-    first, last = starts.tolist(), (ends - 1).tolist()
-    for k, v in enumerate(value):
-        if doc[k] != now:
-            for s in stack:
-                right[s] = last[now]
-            stack, now = [], doc[k]
-        while stack and value[stack[-1]] > v:
-            right[stack.pop()] = place[k] - 1
-        left[k] = place[stack[-1]] + 1 if stack else first[now]
-        stack.append(k)
-    for s in stack:
-        right[s] = last[now]
-    return np.array(left), c, np.array(right)
+    starts, doc = np.concatenate(([0], ends[:-1])), documents[c]
+    return _bounds(low, c, doc, starts, 1) + 1, c, _bounds(low[::-1], c[::-1], doc[::-1], ends - 1, -1)[::-1] - 1
+
+
+def _bounds(value: np.ndarray, place: np.ndarray, doc: np.ndarray, first: np.ndarray, step: int) -> np.ndarray:
+    """Place of the nearest smaller value that stands before each value in its document, or the one
+    beside the document's ``first`` place. All look at once, from what they have seen to what that has."""
+    n = len(value)
+    new = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    near = np.arange(-1, n - 1)
+    # A document's first value sees nothing, and no other one looks past a value that sees nothing.
+    near[new] = n
+    value = np.append(value, np.uint64(0))
+    near = np.append(near, n)
+    left = np.flatnonzero(value[near] > value)
+    while len(left):
+        seen = near[near[left]]
+        near[left] = seen
+        left = left[value[seen] > value[left]]
+    near = near[:n]
+    return np.where(near < n, place[np.minimum(near, n - 1)], first[doc] - step)
 
 
 _WINDOW = T.StructType([T.StructField(k, T.LongType()) for k in ("key", "doc", "place")])
@@ -153,13 +156,17 @@ def _long_enough(docs: DataFrame, doc_id: str, text: str, passage: int) -> DataF
     return given.filter(F.col("doc").isNotNull() & (F.length("text") >= 2 * passage - 1))
 
 
+def _hashed(texts: pa.Array) -> list[np.ndarray]:
+    """The shingles of each text; null has none."""
+    return shingle_streams([t or b"" for t in texts.cast(pa.large_binary()).to_pylist()])
+
+
 def _streams(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list[int], list[np.ndarray], list[int]]]:
     """Some texts' documents, shingles and places of the first shingle at a time."""
     for batch in batches:
         for small in slices(batch, 256):
             ids, streams, offsets, size = [], [], [], 0
-            for doc, t in zip(small.column(0).to_pylist(), small.column(1), strict=True):
-                stream = shingle_stream(word_hashes(t.as_py() or ""))
+            for doc, stream in zip(small.column(0).to_pylist(), _hashed(small.column(1)), strict=True):
                 for at in range(0, max(1, len(stream) - least + 1), _BLOCK):
                     part = stream[at : at + _BLOCK + least - 1]
                     if len(part) < least:
@@ -270,6 +277,8 @@ def _longest(starts: list[int], ends: list[int], other_starts: list[int], other_
 def _dense_runs(hit: np.ndarray, against: float, least: int) -> list[tuple[int, int]]:
     """Runs of at least ``least``, from hit to hit, in which hits at 1 make up for misses at
     -against: the longest, then the longest on either side of it, and so on."""
+    if np.count_nonzero(hit) < against / (1 + against) * least - 1e-6:
+        return []
     turns = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
     if not len(turns):
         return []
@@ -347,15 +356,23 @@ def verify(a: np.ndarray, b: np.ndarray, least: int, threshold: float = THRESHOL
     out = []
     if min(len(a), len(b)) < least:
         return out
-    # Hits make up for misses in every passage, so fewer than threshold * least hits can't have one.
-    seen = np.zeros(1 << 16, bool)
-    seen[b.astype(np.uint16)] = True
-    if np.count_nonzero(seen[a.astype(np.uint16)]) < threshold * least:
-        return out
+    if len(a) == len(b) and (a == b).all():
+        ranked = np.sort(a)
+        new = np.concatenate(([True], ranked[1:] != ranked[:-1], [True]))
+        if (new[1:] & new[:-1]).any():  # equal sequences with a shingle that links them are one passage
+            return [(0, len(a), 0, len(b), 1.0)]
+    against = threshold / (1 - threshold)
+    # Hits make up for misses in every passage, on either side, whatever its order. The lower bits of
+    # the shingles show all hits, and perhaps some more.
+    for one, other in ((a, b), (b, a)):
+        seen = np.zeros(1 << 16, bool)
+        seen[other.astype(np.uint16)] = True
+        hit = seen[one.astype(np.uint16)]
+        if np.count_nonzero(hit) < threshold * len(one) and not _dense_runs(hit, against, least):
+            return out
     a, b = _numbered(a, b)
     size = int(max(a.max(), b.max())) + 1
     left = np.bincount(b, minlength=size)[a] > 0
-    against = threshold / (1 - threshold)
     xs, ys = _aligned(a, b, size)
     if len(xs):
         breaks = np.flatnonzero((np.diff(xs) != 1) | (np.diff(ys) != 1)) + 1
@@ -375,9 +392,16 @@ def verify(a: np.ndarray, b: np.ndarray, least: int, threshold: float = THRESHOL
         mine = np.zeros(size, bool)
         mine[a[x:y]] = True
         hit = mine[b]
+        both = np.zeros(size, bool)
+        both[b[hit]] = True
         best, similar, weight = (), 0.0, against
-        while similar < threshold and weight <= 32 * against:
-            for u, v in _dense_runs(hit, weight, least):
+        # All of b has no more of these shingles than any part of it.
+        possible = np.count_nonzero(both) >= threshold * np.count_nonzero(mine) - 1e-6
+        while possible and similar < threshold and weight <= 32 * against:
+            runs = _dense_runs(hit, weight, least)
+            if not runs:  # nor are there denser ones
+                break
+            for u, v in runs:
                 now = _similarity(a[x:y], b[u:v], size)
                 if now > similar:
                     best, similar = (u, v), now
@@ -416,11 +440,6 @@ def _spans(meets: DataFrame, enough: int) -> DataFrame:
     return meets.select("a", "b", "pa", "pb").repartition("a", "b").sortWithinPartitions("a", "b", "pa").mapInArrow(run, span)
 
 
-@lru_cache(maxsize=64)
-def _unpacked(piece: bytes) -> np.ndarray:
-    return shingle_stream(word_hashes(zlib.decompress(piece).decode()))
-
-
 def _compared(meets: DataFrame, docs: DataFrame, doc_id: str, text: str, passage: int, threshold: float, enough: int) -> DataFrame:
     """The verified passages of the meetings (a, pa, b, pb)."""
     least = passage - WORDS + 1
@@ -450,9 +469,11 @@ def _compared(meets: DataFrame, docs: DataFrame, doc_id: str, text: str, passage
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for small in slices(batch, 64):
-                rows = []
-                for a, b, a0, b0, sa, sb in zip(*[c.to_pylist() for c in small.columns], strict=True):
-                    for x, y, u, v, similar in verify(_unpacked(sa), _unpacked(sb), least, threshold):
+                rows, columns = [], [c.to_pylist() for c in small.columns]
+                packed = list(dict.fromkeys(columns[4] + columns[5]))
+                of = dict(zip(packed, shingle_streams([zlib.decompress(x) for x in packed]), strict=True))
+                for a, b, a0, b0, sa, sb in zip(*columns, strict=True):
+                    for x, y, u, v, similar in verify(of[sa], of[sb], least, threshold):
                         rows.append((a, a0 + x, y - x + WORDS - 1, b, b0 + u, v - u + WORDS - 1, similar))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, [pa.int64()] * 6 + [pa.float64()], strict=True)], names=out.names)
 
@@ -538,8 +559,10 @@ def _exact_passages(docs: DataFrame, doc_id: str, text: str, found: DataFrame, p
     groups = materialise(_held(every, "context", F.first("left").alias("left"), F.first("right").alias("right")), "groups")
     halves = groups.select("context", F.explode(F.array_compact(F.array("left", "right"))).alias("half"))
     several = materialise(halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half"), "halves", reduced=True)
-    partly = materialise(only_with(halves, "half", several).join(several, "half", "left_semi").select("context").distinct(), "partly", reduced=True)
-    wanted = groups.select("context", "lead", "hi").join(partly.withColumn("partly", F.lit(True)), "context", "left").filter((F.col("lead.doc") < F.col("hi.doc")) | F.col("partly"))
+    partly = materialise(only_with(halves, "half", several).join(several, "half").select("context").distinct(), "partly", reduced=True)
+    shared = F.col("lead.doc") < F.col("hi.doc")
+    wanted = groups.filter(shared).unionByName(only_with(groups.filter(~shared), "context", partly)).select("context", "lead", "hi")
+    wanted = wanted.join(partly.withColumn("partly", F.lit(True)), "context", "left").filter(shared | F.col("partly"))
     wanted = materialise(wanted, "wanted", reduced=True)
     rows = materialise(only_with(every, "context", wanted).join(wanted, "context").select("doc", "p", "n", "lead", "hi", "partly"), "rows", reduced=True)
     discard(every, groups, several, partly, wanted)
@@ -552,8 +575,8 @@ def _exact_passages(docs: DataFrame, doc_id: str, text: str, found: DataFrame, p
         for batch in batches:
             for small in slices(batch, 64):
                 columns: list[list[np.ndarray]] = [[], [], []]
-                for doc, t, spans in zip(small.column(0).to_pylist(), small.column(1), small.column(2).to_pylist(), strict=True):
-                    hashes = _run_hashes(shingle_stream(word_hashes(t.as_py() or "")), size).view(np.int64)
+                for doc, stream, spans in zip(small.column(0).to_pylist(), _hashed(small.column(1)), small.column(2).to_pylist(), strict=True):
+                    hashes = _run_hashes(stream, size).view(np.int64)
                     # Rows that share an id have the places of one another.
                     places = np.concatenate([np.arange(x["p"], min(x["p"] + x["n"], len(hashes))) for x in spans])
                     columns[0].append(hashes[places])
@@ -563,7 +586,7 @@ def _exact_passages(docs: DataFrame, doc_id: str, text: str, found: DataFrame, p
 
     runs = materialise(only_with(given, "doc", asked).join(asked, "doc").select("doc", "text", "spans").mapInArrow(run, out), "runs")
     held = materialise(_held(runs, "run").filter(F.col("lead.doc") < F.col("hi.doc")), "held", reduced=True)
-    same = runs.join(held, "run").withColumn("n", F.lit(1).cast("long"))
+    same = only_with(runs, "run", held).join(held, "run").withColumn("n", F.lit(1).cast("long"))
     met = _linked(rows).unionByName(_linked(same)).withColumns({"shift": F.col("pb") - F.col("pa"), "end": F.col("pa") + F.col("n") + (size - 1)})
     along = Window.partitionBy("a", "b", "shift").orderBy("pa", "end")
     met = met.withColumn("new", (F.col("pa") > F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))).cast("long"))
@@ -596,8 +619,7 @@ def _tokens(first: DataFrame, large: DataFrame, docs: DataFrame, doc_id: str, te
         for batch in batches:
             for part in slices(batch, 64):
                 columns: list[list[np.ndarray]] = [[], [], []]
-                for doc, t, places in zip(part.column(0).to_pylist(), part.column(1), part.column(2), strict=True):
-                    stream = shingle_stream(word_hashes(t.as_py() or ""))
+                for doc, stream, places in zip(part.column(0).to_pylist(), _hashed(part.column(1)), part.column(2), strict=True):
                     l, r, _ = _unplaced(places.values.to_numpy(zero_copy_only=False))
                     steps = np.zeros(len(stream) + 1, np.int64)
                     np.add.at(steps, np.minimum(l, len(stream)), 1)

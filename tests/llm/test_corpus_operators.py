@@ -597,3 +597,54 @@ def test_verification_moves_only_the_texts_of_pairs(spark, monkeypatch):
     got = near_dedup._verified(pairs, texts, 0.8).collect()
     assert [(bytes(x.a), bytes(x.b)) for x in got] == [(b"\x01", b"\x08")]
     assert moved == [1, 2]
+
+
+def test_short_texts_are_hashed_together(monkeypatch):
+    rng, calls, real = random.Random(4), [], shingles._hash_words
+    texts = [" ".join(rng.choice(["a", "bb", "\u00e9", "x\t", "\n", " "]) for _ in range(rng.randrange(30))) for _ in range(200)]
+    expected = [shingles.shingle_stream(shingles.word_hashes(t)).tolist() for t in (*texts, "word " * 300_000, *texts[:3])]
+    monkeypatch.setattr(shingles, "_hash_words", lambda *a: calls.append(1) or real(*a))
+    got = shingles.shingle_streams([t.encode() for t in texts])
+    assert [x.tolist() for x in got] == expected[:200] and len(calls) == 1
+    assert [x.tolist() for x in shingles.shingle_streams([t.encode() for t in (*texts, "word " * 300_000, *texts[:3])])] == expected
+    assert shingles.shingle_streams([]) == [] and [len(x) for x in shingles.shingle_streams([b"", b" \n"])] == [0, 0]
+
+
+def test_pairs_without_a_dense_run_are_not_aligned(monkeypatch):
+    r = np.random.default_rng(8)
+    new = lambda n: r.integers(0, 2**63, n).astype(np.uint64)
+    line, passage = new(10), new(60)
+    often = np.concatenate([line, line, line, line, line, new(40)])
+    # All five copies of the line are dense in one text; the other one has the line once.
+    once = np.concatenate([new(60), line, new(60)])
+    scattered = np.concatenate([x for k in range(0, 60, 4) for x in (passage[k : k + 4], new(4))])
+    alike = substring_dedup.verify(np.concatenate([new(30), passage]), np.concatenate([passage, new(30)]), 46)
+    assert [x[:4] for x in alike] == [(30, 90, 0, 60)]
+    assert substring_dedup.verify(passage, passage.copy(), 46) == [(0, 60, 0, 60, 1.0)]
+
+    def aligned(*given):
+        raise AssertionError("aligned")
+
+    monkeypatch.setattr(substring_dedup, "_aligned", aligned)
+    for a, b in ((often, once), (once, often), (passage, scattered), (scattered, passage)):
+        assert substring_dedup.verify(a, b, 46) == []
+
+
+def test_filters_of_exact_runs_stand_before_the_shuffle(spark, monkeypatch):
+    """No join pushes itself below the filter that keeps rows without a partner from being shuffled."""
+    rng = random.Random(12)
+    twice = prose(rng, 80)
+    docs = spark.createDataFrame([(k, f"{prose(rng, 70)} {twice if k < 2 else ''} {prose(rng, 60)}") for k in range(40)], "doc_id long, text string")
+    plans, real = {}, substring_dedup.materialise
+
+    def written(df, label, reduced=False):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, label, reduced)
+
+    monkeypatch.setattr(substring_dedup, "materialise", written)
+    found = spark.createDataFrame([], "a long, a_start long, a_words long, b long, b_start long, b_words long, similarity double")
+    got = substring_dedup._exact_passages(docs, "doc_id", "text", found, 50).collect()
+    assert {(x.a, x.b) for x in got} == {(0, 1)}
+    for label in ("partly", "wanted", "exact"):
+        assert "_words" in plans[label], label
+    assert "LeftSemi" not in plans["partly"]
