@@ -589,7 +589,7 @@ def _exact_passages(docs: DataFrame, doc_id: str, text: str, found: DataFrame, p
     same = only_with(runs, "run", held).join(held, "run").withColumn("n", F.lit(1).cast("long"))
     met = _linked(rows).unionByName(_linked(same)).withColumns({"shift": F.col("pb") - F.col("pa"), "end": F.col("pa") + F.col("n") + (size - 1)})
     along = Window.partitionBy("a", "b", "shift").orderBy("pa", "end")
-    met = met.withColumn("new", (F.col("pa") > F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))).cast("long"))
+    met = met.withColumn("new", F.coalesce(F.col("pa") > F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("long"))
     met = met.withColumn("part", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     merged = met.groupBy("a", "b", "shift", "part").agg(F.min("pa").alias("a_start"), F.max("end").alias("end"))
     words = (F.col("end") - F.col("a_start") + (WORDS - 1)).alias
