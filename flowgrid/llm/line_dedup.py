@@ -49,7 +49,10 @@ class LineRuns:
     def _write(self, rows: DataFrame, level: int) -> None:
         name = f"flowgrid_run_{uuid.uuid4().hex}"
         path = self.paths[name] = scratch_path(self.spark, "run")
-        rows.select("h", "first_doc").repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", path).format("parquet").saveAsTable(name)
+        # Dealt out by the bucket itself: whatever the number of partitions is, no two tasks hold rows of
+        # one bucket, and a run has one file a bucket.
+        dealt = rows.select("h", "first_doc").repartition(F.expr(f"pmod(hash(h), {self.buckets})"))
+        dealt.write.bucketBy(self.buckets, "h").sortBy("h").option("path", path).format("parquet").saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)

@@ -68,6 +68,28 @@ def test_runs_are_levelled(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("flowgrid_run")]
 
 
+def test_run_has_one_file_a_bucket(spark, monkeypatch):
+    # However many partitions a session deals rows out to by a key: else a run has tasks x buckets files.
+    frame = type(spark.range(0))
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *cols, f=frame.repartition: f(self, max(13, n) if isinstance(n, int) and cols else n, *cols))
+    conf = {"spark.sql.shuffle.partitions": "13", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        store = line_dedup.LineRuns(spark, 3)
+        for b in (0, 1):
+            store.add(spark.range(400 * b, 400 * b + 400).selectExpr("unhex(md5(cast(id as string))) as h", "id as first_doc"))
+        (run,) = store.runs()
+        files = [re.search(r"_(\d+)\.", f.rsplit("/", 1)[-1])[1] for f in run.inputFiles()]
+        assert sorted(map(int, files)) == [0, 1, 2]
+        assert sorted(r["first_doc"] for r in run.collect()) == list(range(800))
+        store.clear()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def brute_classes(table, threshold=0.8):
     sets = {}
     for k, t in table.items():
